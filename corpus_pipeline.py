@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import language_mixture, packing
+from sluice.llm import language_mixture, packing, simhash, suffix_dedup
 from sluice.llm.common import staged, tokenizer_path
 
 
@@ -19,11 +19,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_mixture.keep_identified(docs, language_mixture.train(docs))
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: shingles of five words, similarity 0.8."""
+    return simhash.one_of_each(docs)
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 bytes and more that an earlier document has are taken out."""
+    return suffix_dedup.without_repeats(docs)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
-STAGES = [("language_id", language_id), ("packing", pack_sequences)]
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("passage_dedup", passage_dedup), ("packing", pack_sequences)]
 
 ORACLE_SQL = None
 

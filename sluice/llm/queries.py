@@ -10,11 +10,12 @@ from sluice.llm.packing import op1_packing
 from sluice.llm.quartile_digest import op5_quartile_digest
 from sluice.llm.sharding import op10_sharding
 from sluice.llm.simhash import op8_simhash
+from sluice.llm.suffix_dedup import op6_suffix_dedup
 from sluice.llm.token_counts import op2_token_counts
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_token_counts, op3_language, op4_flac, op5_quartile_digest, op7_bpe_codec, op8_simhash, op9_arrow_stream, op10_sharding)
+    for f in (op1_packing, op2_token_counts, op3_language, op4_flac, op5_quartile_digest, op6_suffix_dedup, op7_bpe_codec, op8_simhash, op9_arrow_stream, op10_sharding)
 }
 
 #: None of these can be said in SQL (tokenizers, checksums, iterative links); tests/llm holds brute-force versions.

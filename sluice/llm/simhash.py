@@ -124,6 +124,93 @@ def components(df: DataFrame, words: int = 3, distance: int = 2, blocks: int = 5
     return rows.join(label, "fp").select("id", "fp", "component")
 
 
+# --- near-duplicate groups by shingle similarity ---------------------------------------------------
+
+
+def majority(h: np.ndarray) -> int:
+    """SimHash of a few hashes, as signed 64 bits."""
+    if len(h) == 3:
+        a, b, c = (int(x) for x in h)
+        bits = a & b | a & c | b & c
+    else:
+        ones = np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        bits = int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def sampled_blocks(text: bytes, words: int, blocks: int, sample: int, sketch: int) -> tuple[int, list[int], bytes]:
+    """A class of equal word sequences, a fingerprint of ``blocks`` blocks, and the ``sketch`` smallest shingle hashes.
+
+    Block k is the SimHash of the ``sample`` shingles that come first under the k-th
+    hash, so texts of similarity s share it with probability s ** sample.
+    """
+    from xxhash import xxh64_intdigest
+
+    w = text.lower().split()
+    shingles = {b" ".join(s) for s in zip(*(w[k:] for k in range(words)), strict=False)} if len(w) >= words else {b" ".join(w)}
+    h = np.fromiter((xxh64_intdigest(s, 42) for s in shingles), np.uint64, len(shingles))
+    cls = xxh64_intdigest(b" ".join(w), 42)
+    out = []
+    for k in range(blocks):
+        mixed = (h ^ (h >> np.uint64(31))) * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 3) | 1) & (1 << 64) - 1)
+        mixed ^= mixed >> np.uint64(29)
+        first = np.argpartition(mixed, sample)[:sample] if len(h) > sample else slice(None)
+        out.append(majority(h[first]))
+    low = np.sort((h >> np.uint64(32)).astype("<u4"))[:sketch]
+    return cls - (1 << 64) if cls >> 63 else cls, out, low.tobytes()
+
+
+def similarity(a: bytes, b: bytes, sketch: int) -> float:
+    """Jaccard similarity of shingle sets from their smallest hashes; exact if neither has more than ``sketch``."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    both = np.union1d(x, y)
+    if len(x) >= sketch or len(y) >= sketch:
+        both = both[:sketch]
+    return float(np.isin(both, np.intersect1d(x, y)).mean()) if len(both) else 1.0
+
+
+def near_groups(df: DataFrame, words: int = 5, least: float = 0.8, blocks: int = 12, sample: int = 3, sketch: int = 192, pair_limit: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, group) for rows that aren't the smallest id of their group of near copies.
+
+    Candidates share a block; each is verified.  A block with more than ``pair_limit``
+    classes links each to the smallest id under it, if similar, and emits no pairs.
+    """
+    kind = sql_type(df, id_col)
+
+    def run(batches):
+        for b in slices(batches):
+            got = [sampled_blocks(t, words, blocks, sample, sketch) for t in utf8(b.column(1).to_pylist())]
+            cls, keys, low = zip(*got, strict=True)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())], names=["id", "cls", "blocks", "sketch"])
+
+    def verify(batches):
+        for b in slices(batches):
+            good = [similarity(x, y, sketch) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    rows = staged(ids_and_texts(df, id_col, text_col).filter("id is not null").mapInArrow(run, f"id {kind}, cls long, blocks array<long>, sketch binary"), "near-rows")
+    classes = staged(rows.groupBy("cls").agg(F.min("id").alias("head")), "near-classes")
+    heads = staged(rows.join(classes, (rows.cls == classes["cls"]) & (rows.id == classes["head"]), "left_semi").dropDuplicates(["id"]), "near-heads")
+    keyed = heads.select("id", F.posexplode("blocks").alias("n", "bits"))
+    sizes = keyed.groupBy("n", "bits").agg(F.count("*").alias("size"), F.min("id").alias("center")).filter("size > 1")
+    shared = staged(keyed.join(sizes, ["n", "bits"]), "near-keys")
+    few = shared.filter(F.col("size") <= pair_limit)
+    pairs = few.select("n", "bits", F.col("id").alias("a")).join(few.select("n", "bits", F.col("id").alias("b")), ["n", "bits"]).filter("a < b").select("a", "b")
+    star = shared.filter((F.col("size") > pair_limit) & (F.col("id") > F.col("center"))).select(F.col("center").alias("a"), F.col("id").alias("b"))
+    sketches = heads.select("id", "sketch")
+    candidates = pairs.union(star).distinct()
+    joined = candidates.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    root = smallest_reachable(staged(joined.mapInArrow(verify, f"a {kind}, b {kind}"), "near-links"))
+    grouped = classes.join(root, classes["head"] == root.node, "left").select("cls", F.coalesce("root", "head").alias("group"))
+    return rows.select("id", "cls").join(grouped, "cls").filter("id != group").select("id", "group")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows without near copies of a smaller id; rows with equal ids stay or go together, null ids stay."""
+    gone = near_groups(df, id_col=id_col, text_col=text_col, **how).select(F.col("id").alias(id_col)).distinct()
+    return df.join(gone, id_col, "left_anti").select(*df.columns)
+
+
 def op8_simhash(spark, sf_dir):
     got = components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return got.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

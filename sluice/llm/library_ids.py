@@ -20,8 +20,21 @@ UNUSUAL = re.compile(rf"[^\t\n\r -~{LETTERS}¡§«­°·»¿–—‘-„…€]
 SPLIT = re.compile(rf" ?[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+")
 
 
+class Known(dict):
+    """Pre-token -> its number; asking for a new one numbers it and notes it in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class LibraryIds:
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 300_000):
         from tokenizers import Tokenizer
 
         self.t, self.keep = Tokenizer.from_file(path), keep
@@ -29,7 +42,7 @@ class LibraryIds:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Known()
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -43,9 +56,8 @@ class LibraryIds:
         return ids[keep], np.bincount(at[keep] // step, minlength=len(words))
 
     def learn(self, words: list[str]) -> None:
-        led = [w for w in words if w[0] == " " and not w.isspace()]
-        bare = [w for w in words if not w[0].isspace()]
-        rest = [w for w in words if w.isspace()]
+        kinds = [2 if w.isspace() else w[0] != " " for w in words]
+        led, bare, rest = ([w for w, k in zip(words, kinds, strict=True) if k == own] for own in range(3))
         got = [self.ask(led[i : i + 4000], 1, "") for i in range(0, len(led), 4000)]
         got += [self.ask(bare[i : i + 4000], 2, "\n") for i in range(0, len(bare), 4000)]
         got += [self.ask([w], 1, "") for w in rest]
@@ -53,10 +65,11 @@ class LibraryIds:
         if self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(ids), self.used) + (1 << 16), np.uint32)])
         self.pool[self.used : self.used + len(ids)] = ids
-        self.start = np.concatenate([self.start, self.used + np.cumsum(sizes) - sizes])
-        self.length = np.concatenate([self.length, sizes])
+        place = np.empty(len(words), np.int64)
+        place[np.argsort(kinds, kind="stable")] = np.arange(len(words))
+        self.start = np.concatenate([self.start, (self.used + np.cumsum(sizes) - sizes)[place]])
+        self.length = np.concatenate([self.length, sizes[place]])
         self.used += len(ids)
-        self.known.update(zip([*led, *bare, *rest], range(len(self.known), len(self.known) + len(words)), strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """One uint32 array for each text; null counts as empty."""
@@ -73,11 +86,11 @@ class LibraryIds:
                 words.append(SPLIT.findall(t))
                 owners.append(i)
         if words:
-            new = set().union(*words) - self.known.keys()
-            if new:
-                self.learn(list(new))
             counts = [len(w) for w in words]
             index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, sum(counts))
+            if self.known.new:
+                new, self.known.new = self.known.new, []
+                self.learn(new)
             sizes = self.length[index]
             ends = np.cumsum(sizes)
             flat = np.repeat(self.start[index] - ends + sizes, sizes)

@@ -443,7 +443,7 @@ def finish_batch(key, table: pa.Table, folder: str, texts: bool) -> pa.Table:
     return pa.Table.from_arrays(cols, names=names)
 
 
-def remove_repeats(df: DataFrame, batch_bytes: int = 8 << 20, parts: int | None = None, texts: bool = False, carry: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(df: DataFrame, batch_bytes: int = 4 << 20, parts: int | None = None, texts: bool = False, carry: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256); if asked for, the remaining bytes as ``kept`` and other columns in ``rest``."""
     spark = df.sparkSession
     folder = fresh_path(spark, "suffix-batches")

@@ -34,47 +34,58 @@ class Known(dict):
 
 
 class LibraryIds:
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 250_000):
         from tokenizers import Tokenizer
 
         self.t, self.keep = Tokenizer.from_file(path), keep
         self.special = [t.content for t in self.t.get_added_tokens_decoder().values()]
-        self.clear()
-
-    def clear(self) -> None:
+        self.feed = self.t.encode("\n", add_special_tokens=False).ids[0]
         self.known = Known()
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.start = self.length = self.count = np.zeros(0, np.int64)
 
-    def ask(self, words: list[str], step: int, glue: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and sizes of words that the library cuts apart again when they're glued; one call costs less than many."""
-        e = self.t.encode(glue.join(words), add_special_tokens=False)
-        ids, at = np.array(e.ids, np.uint32), np.array(e.word_ids, np.int64)
-        if at[-1] != step * (len(words) - 1):
+    def ask(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of words without line feeds, in one call: glued by line feeds, each of which is an id of its own."""
+        ids = np.array(self.t.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        at = np.flatnonzero(ids == self.feed)
+        if len(at) != len(words) - 1:
             raise ValueError("the library cuts glued words elsewhere")
-        keep = at % step == 0
-        return ids[keep], np.bincount(at[keep] // step, minlength=len(words))
+        return np.delete(ids, at), np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1
+
+    def forget(self) -> None:
+        """Of what is kept, only pre-tokens asked for again and again stay."""
+        stay = np.flatnonzero(self.count >= 4)
+        stay = stay[np.argsort(-self.count[stay], kind="stable")[: self.keep // 2]]
+        words, known = list(self.known), Known()
+        for i in stay.tolist():
+            known[words[i]] = len(known)
+        start, length = self.start[stay], self.length[stay]
+        ends = np.cumsum(length)
+        at = np.repeat(start - ends + length, length) + np.arange(int(length.sum()))
+        self.pool, self.used = self.pool[at], len(at)
+        self.known, self.start, self.length, self.count = known, ends - length, length, self.count[stay] // 2
 
     def learn(self, words: list[str]) -> None:
-        kinds = [2 if w.isspace() else w[0] != " " for w in words]
-        led, bare, rest = ([w for w, k in zip(words, kinds, strict=True) if k == own] for own in range(3))
-        got = [self.ask(led[i : i + 4000], 1, "") for i in range(0, len(led), 4000)]
-        got += [self.ask(bare[i : i + 4000], 2, "\n") for i in range(0, len(bare), 4000)]
-        got += [self.ask([w], 1, "") for w in rest]
-        ids, sizes = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
+        blank = [w.isspace() for w in words]
+        solid = [w for w, k in zip(words, blank, strict=True) if not k]
+        got = [self.ask(solid[i : i + 4000]) for i in range(0, len(solid), 4000)]
+        alone = [np.array(self.t.encode(w, add_special_tokens=False).ids, np.uint32) for w, k in zip(words, blank, strict=True) if k]
+        ids = np.concatenate([*(x[0] for x in got), *alone])
+        sizes = np.concatenate([*(x[1] for x in got), np.array([len(x) for x in alone], np.int64)])
         if self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(ids), self.used) + (1 << 16), np.uint32)])
         self.pool[self.used : self.used + len(ids)] = ids
         place = np.empty(len(words), np.int64)
-        place[np.argsort(kinds, kind="stable")] = np.arange(len(words))
+        place[np.argsort(blank, kind="stable")] = np.arange(len(words))
         self.start = np.concatenate([self.start, (self.used + np.cumsum(sizes) - sizes)[place]])
         self.length = np.concatenate([self.length, sizes[place]])
+        self.count = np.concatenate([self.count, np.zeros(len(words), np.int64)])
         self.used += len(ids)
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """One uint32 array for each text; null counts as empty."""
         if len(self.known) > self.keep:
-            self.clear()
+            self.forget()
         out: list = [None] * len(texts)
         words, owners = [], []
         for i, t in enumerate(texts):
@@ -91,6 +102,7 @@ class LibraryIds:
             if self.known.new:
                 new, self.known.new = self.known.new, []
                 self.learn(new)
+            self.count += np.bincount(index, minlength=len(self.count))
             sizes = self.length[index]
             ends = np.cumsum(sizes)
             flat = np.repeat(self.start[index] - ends + sizes, sizes)

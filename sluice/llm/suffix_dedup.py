@@ -159,13 +159,18 @@ class Batch:
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         self.bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
-    def find_anchors(self) -> None:
+    def find_anchors(self, piece: int = 1 << 20) -> None:
+        """Piece by piece, to bound the working arrays; a run of windows cut by a piece's end counts as two contexts."""
         n = len(self.data) - LENGTH + 1
-        if n <= 0:
-            self.first = self.last = self.doc = np.zeros(0, np.int64)
-            self.key = self.context = np.zeros(0, np.uint64)
-            return
-        h = gram_hashes(self.data)
+        found = [self.anchors_in(a, min(a + piece, n)) for a in range(0, n, piece)]
+        empty = [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)] * 2
+        self.first, self.last, self.key, self.context = (np.concatenate(x) for x in zip(*found, strict=True)) if found else empty
+        self.doc = np.searchsorted(self.bounds, self.first, side="right") - 1
+
+    def anchors_in(self, a: int, z: int):
+        """First and last window, key and context hash of each anchor of the windows from a to z."""
+        data, n = self.data[a : z + LENGTH - 1], z - a
+        h = gram_hashes(data)
         span, value, place = 1, h, np.arange(len(h), dtype=np.int32)
         width = LENGTH - GRAM + 1
         while span < width:
@@ -173,25 +178,24 @@ class Batch:
             less = value[step:] < value[:-step]
             value, place = np.where(less, value[step:], value[:-step]), np.where(less, place[step:], place[:-step])
             span += step
-        doc = np.repeat(np.arange(len(self.bounds) - 1, dtype=np.int32), np.diff(self.bounds))[:n]
-        whole = self.bounds[1:][doc] - np.arange(n) >= LENGTH
+        d = np.searchsorted(self.bounds, [a, z - 1], side="right") - 1
+        inner = np.clip(self.bounds[d[0] : d[1] + 2], a, z) - a
+        doc_end = np.repeat(self.bounds[d[0] + 1 : d[1] + 2] - a, np.diff(inner))
+        whole = doc_end - np.arange(n) >= LENGTH  # inside one document
         change = np.ones(n, bool)
-        change[1:] = (place[1:n] != place[: n - 1]) | (doc[1:] != doc[:-1])
-        # windows across two documents form groups of their own or end one
-        change[1:] |= whole[1:] != whole[:-1]
+        change[1:] = (place[1:n] != place[: n - 1]) | (whole[1:] != whole[:-1])
+        change[inner[(inner > 0) & (inner < n)]] = True
         first = np.flatnonzero(change)
         last = np.append(first[1:], n) - 1
         keep = whole[first]
-        self.first, self.last = first[keep], last[keep]
-        self.doc = doc[self.first]
-        at, end = place[self.first], self.last + LENGTH - GRAM
-        self.key = h[at]
-        mix = h[self.first]
-        for k in (np.minimum(self.first + 20, end), np.minimum(self.first + 40, end), end):
+        first, last = first[keep], last[keep]
+        at, end = place[first], last + LENGTH - GRAM
+        mix = h[first]
+        for k in (np.minimum(first + 20, end), np.minimum(first + 40, end), end):
             mix = (mix ^ (mix >> np.uint64(27))) * np.uint64(0x9FB21C651E98DF25) + h[k]
-        shape = ((at - self.first) * 128 + (self.last - self.first)).astype(np.uint64)
+        shape = ((at - first) * 128 + (last - first)).astype(np.uint64)
         mix = (mix ^ shape) * np.uint64(0xD6E8FEB86659FD93)
-        self.context = mix ^ (mix >> np.uint64(32))
+        return first + a, last + a, h[at], mix ^ (mix >> np.uint64(32))
 
     def entries(self, parts: int):
         """Distinct (part, key, context) in order: their parts, keys, contexts, smallest ids, and the entry of each anchor."""
@@ -443,7 +447,7 @@ def finish_batch(key, table: pa.Table, folder: str, texts: bool) -> pa.Table:
     return pa.Table.from_arrays(cols, names=names)
 
 
-def remove_repeats(df: DataFrame, batch_bytes: int = 4 << 20, parts: int | None = None, texts: bool = False, carry: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(df: DataFrame, batch_bytes: int = 8 << 20, parts: int | None = None, texts: bool = False, carry: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256); if asked for, the remaining bytes as ``kept`` and other columns in ``rest``."""
     spark = df.sparkSession
     folder = fresh_path(spark, "suffix-batches")
@@ -455,7 +459,7 @@ def remove_repeats(df: DataFrame, batch_bytes: int = 4 << 20, parts: int | None
     parts = min(1 << 16, parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 2))
     tasks = manifest.repartition(max(1, n), "batch")
     sent = tasks.mapInArrow(partial(send_anchors, folder=folder, parts=parts), ANCHORS)
-    answers = sent.groupBy("part").applyInArrow(answer_anchors, ANSWERS)
+    answers = sent.repartition(parts, "part").groupBy("part").applyInArrow(answer_anchors, ANSWERS)
 
     def use(key, table):
         return use_answers(key, table, folder, parts)
@@ -463,10 +467,10 @@ def remove_repeats(df: DataFrame, batch_bytes: int = 4 << 20, parts: int | None
     def finish(key, table):
         return finish_batch(key, table, folder, texts)
 
-    step = staged(answers.groupBy("batch").applyInArrow(use, STEP), "suffix-step")
-    compared = step.filter("kind = 1").groupBy("part").applyInArrow(compare_contexts, STEP)
+    step = staged(answers.repartition(max(1, n), "batch").groupBy("batch").applyInArrow(use, STEP), "suffix-step")
+    compared = step.filter("kind = 1").repartition(parts, "part").groupBy("part").applyInArrow(compare_contexts, STEP)
     out = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts + (f", rest {rows.schema['rest'].dataType.simpleString()}" if carry else "")
-    return step.filter("kind = 0").unionByName(compared).groupBy("batch").applyInArrow(finish, out)
+    return step.filter("kind = 0").unionByName(compared).repartition(max(1, n), "batch").groupBy("batch").applyInArrow(finish, out)
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", **how) -> DataFrame:

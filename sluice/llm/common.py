@@ -47,8 +47,27 @@ def drop_staged(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts can be long: Arrow batches of at most that many rows, unless the session has fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def tidy() -> None:
+    """Give freed memory back at the end of a task: workers live on and hold what their allocators keep."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def ids_and_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the two columns, as ``id`` and ``text``; null texts stay null.  Other columns, whatever their names, go."""
+    small_batches(df.sparkSession)
     return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
@@ -58,6 +77,7 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) -> Itera
         rows = max(1, int(b.num_rows * max_bytes / max(b.nbytes, 1)))
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+    tidy()
 
 
 def sql_type(df: DataFrame, col: str) -> str:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import slices, sql_type
+from sluice.llm.common import slices, small_batches, sql_type
 
 FEATURES = 1 << 16
 STEPS, PENALTY = 8, 4.0
@@ -132,12 +132,14 @@ def detect(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             names, scores = model.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
 
+    small_batches(df.sparkSession)
     return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {sql_type(df, id_col)}, lang_pred string, score double")
 
 
 def keep_identified(df: DataFrame, model: Model, least: float = 0.4, text_col: str = "text") -> DataFrame:
     """The rows whose language is identified with at least that share, with all their columns."""
     at = df.columns.index(text_col)
+    small_batches(df.sparkSession)
 
     def run(batches):
         for b in slices(batches, 2 << 20):

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import fresh_path, ids_and_texts, slices, staged, utf8
+from sluice.llm.common import fresh_path, ids_and_texts, slices, small_batches, staged, tidy, utf8
 
 LENGTH, GRAM, SHALLOW = 50, 20, 24
 LAST = np.iinfo(np.int64).max  # a null id
@@ -414,19 +414,22 @@ def removed_mask(batch: Batch, table: pa.Table) -> np.ndarray:
             begins.append(start)
             ends.append(start + count[which[own]] - 1 + LENGTH)
     n = len(batch.data)
-    depth = np.bincount(np.concatenate(begins), minlength=n + 1) - np.bincount(np.concatenate(ends), minlength=n + 1)
-    return np.cumsum(depth[:n]) > 0
+    depth = np.zeros(n + 1, np.int32)
+    for at, step in ((begins, 1), (ends, -1)):
+        for x in at:
+            np.add.at(depth, x, step)
+    return np.cumsum(depth[:n], out=depth[:n]) > 0
 
 
 def batch_results(batch: Batch, gone: np.ndarray):
     """n_bytes, n_removed, n_spans and the remaining bytes of each document."""
-    before = np.concatenate([[0], np.cumsum(gone)])
+    before = np.concatenate([[0], np.cumsum(gone, dtype=np.int32)])
     n_removed = before[batch.bounds[1:]] - before[batch.bounds[:-1]]
     begins = gone.copy()
     begins[1:] &= ~gone[:-1]
     inner = batch.bounds[:-1][batch.bounds[:-1] < len(gone)]
     begins[inner] = gone[inner]
-    upto = np.concatenate([[0], np.cumsum(begins)])
+    upto = np.concatenate([[0], np.cumsum(begins, dtype=np.int32)])
     n_spans = upto[batch.bounds[1:]] - upto[batch.bounds[:-1]]
     kept = memoryview(batch.data[~gone].tobytes())
     cuts = np.concatenate([[0], np.cumsum(np.diff(batch.bounds) - n_removed)]).tolist()
@@ -452,6 +455,7 @@ def remove_repeats(df: DataFrame, batch_bytes: int = 8 << 20, parts: int | None
     spark = df.sparkSession
     folder = fresh_path(spark, "suffix-batches")
     rows = ids_and_texts(df, id_col, text_col).select(F.col("id").cast("long").alias("id"), "text")
+    small_batches(spark)
     if carry:
         rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in carry)).alias("rest"))
     manifest = staged(rows.mapInArrow(partial(write_batches, folder=folder, batch_bytes=batch_bytes), "batch string"), "suffix-manifest")
@@ -462,10 +466,14 @@ def remove_repeats(df: DataFrame, batch_bytes: int = 8 << 20, parts: int | None
     answers = sent.repartition(parts, "part").groupBy("part").applyInArrow(answer_anchors, ANSWERS)
 
     def use(key, table):
-        return use_answers(key, table, folder, parts)
+        out = use_answers(key, table, folder, parts)
+        tidy()
+        return out
 
     def finish(key, table):
-        return finish_batch(key, table, folder, texts)
+        out = finish_batch(key, table, folder, texts)
+        tidy()
+        return out
 
     step = staged(answers.repartition(max(1, n), "batch").groupBy("batch").applyInArrow(use, STEP), "suffix-step")
     compared = step.filter("kind = 1").repartition(parts, "part").groupBy("part").applyInArrow(compare_contexts, STEP)

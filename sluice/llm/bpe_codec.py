@@ -13,7 +13,6 @@ in; columns other than id and text are not read.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import bpe_fst
-from sluice.llm.common import ids_and_texts, slices, sql_type, tokenizer_path
+from sluice.llm.common import ids_and_texts, model, slices, sql_type, tokenizer_path
 
 
 class Utf8Machine:
@@ -111,7 +110,7 @@ class Codec:
         return "".join(out)
 
 
-@lru_cache(maxsize=4)
+@model
 def codec(path: str) -> Codec:
     return Codec(path)
 

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +55,22 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+MODELS: list = []
+
+
+def model(make):
+    """A worker keeps what ``make`` made, for later tasks, until drop_models()."""
+    kept = lru_cache(maxsize=4)(make)
+    MODELS.append(kept)
+    return kept
+
+
+def drop_models() -> None:
+    """An operator with large working arrays asks for the memory that others' models hold."""
+    for kept in MODELS:
+        kept.cache_clear()
+
+
 def tidy() -> None:
     """Give freed memory back at the end of a task: workers live on and hold what their allocators keep."""
     import ctypes

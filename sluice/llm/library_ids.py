@@ -10,11 +10,13 @@ string, goes to the library whole.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 
+from sluice.llm.common import model
+
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 UNUSUAL = re.compile(rf"[^\t\n\r -~{LETTERS}¡§«­°·»¿–—‘-„…€]")
 SPLIT = re.compile(rf" ?[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+")
@@ -34,7 +36,7 @@ class Known(dict):
 
 
 class LibraryIds:
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 600_000):
         from tokenizers import Tokenizer
 
         self.t, self.keep = Tokenizer.from_file(path), keep
@@ -42,7 +44,7 @@ class LibraryIds:
         self.feed = self.t.encode("\n", add_special_tokens=False).ids[0]
         self.known = Known()
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start = self.length = self.count = np.zeros(0, np.int64)
+        self.n, (self.start, self.length, self.count) = 0, np.zeros((3, 1 << 16), np.int64)
 
     def ask(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and sizes of words without line feeds, in one call: glued by line feeds, each of which is an id of its own."""
@@ -54,7 +56,7 @@ class LibraryIds:
 
     def forget(self) -> None:
         """Of what is kept, only pre-tokens asked for again and again stay."""
-        stay = np.flatnonzero(self.count >= 4)
+        stay = np.flatnonzero(self.count[: self.n] >= 2)
         stay = stay[np.argsort(-self.count[stay], kind="stable")[: self.keep // 2]]
         words, known = list(self.known), Known()
         for i in stay.tolist():
@@ -62,25 +64,33 @@ class LibraryIds:
         start, length = self.start[stay], self.length[stay]
         ends = np.cumsum(length)
         at = np.repeat(start - ends + length, length) + np.arange(int(length.sum()))
-        self.pool, self.used = self.pool[at], len(at)
+        self.pool, self.used, self.n = self.pool[at], len(at), len(stay)
         self.known, self.start, self.length, self.count = known, ends - length, length, self.count[stay] // 2
 
     def learn(self, words: list[str]) -> None:
-        blank = [w.isspace() for w in words]
-        solid = [w for w, k in zip(words, blank, strict=True) if not k]
-        got = [self.ask(solid[i : i + 4000]) for i in range(0, len(solid), 4000)]
-        alone = [np.array(self.t.encode(w, add_special_tokens=False).ids, np.uint32) for w, k in zip(words, blank, strict=True) if k]
+        """Numbered words' ids go to the end of the pool, those of blanks last."""
+        blank = [i for i, w in enumerate(words) if w.isspace()]
+        solid = words
+        if blank:
+            drop = set(blank)
+            solid = [w for i, w in enumerate(words) if i not in drop]
+        got = [self.ask(solid[i : i + 8000]) for i in range(0, len(solid), 8000)]
+        alone = [np.array(self.t.encode(words[i], add_special_tokens=False).ids, np.uint32) for i in blank]
         ids = np.concatenate([*(x[0] for x in got), *alone])
         sizes = np.concatenate([*(x[1] for x in got), np.array([len(x) for x in alone], np.int64)])
-        if self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(ids), self.used) + (1 << 16), np.uint32)])
-        self.pool[self.used : self.used + len(ids)] = ids
-        place = np.empty(len(words), np.int64)
-        place[np.argsort(blank, kind="stable")] = np.arange(len(words))
-        self.start = np.concatenate([self.start, (self.used + np.cumsum(sizes) - sizes)[place]])
-        self.length = np.concatenate([self.length, sizes[place]])
-        self.count = np.concatenate([self.count, np.zeros(len(words), np.int64)])
-        self.used += len(ids)
+        first, last, upto = self.n, self.n + len(words), self.used + len(ids)
+        if upto > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * upto)
+        if last > len(self.start):
+            self.start, self.length, self.count = (np.resize(x, 2 * last) for x in (self.start, self.length, self.count))
+        self.pool[self.used : upto] = ids
+        place = np.arange(first, last)
+        if blank:
+            place = np.concatenate([np.delete(place, blank), place[blank]])
+        self.start[place] = self.used + np.cumsum(sizes) - sizes
+        self.length[place] = sizes
+        self.count[place] = 0
+        self.n, self.used = last, upto
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """One uint32 array for each text; null counts as empty."""
@@ -98,11 +108,12 @@ class LibraryIds:
                 owners.append(i)
         if words:
             counts = [len(w) for w in words]
-            index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, sum(counts))
+            found = (itemgetter(*w)(self.known) if len(w) > 1 else (self.known[w[0]],) for w in words)
+            index = np.fromiter(chain.from_iterable(found), np.int64, sum(counts))
             if self.known.new:
                 new, self.known.new = self.known.new, []
                 self.learn(new)
-            self.count += np.bincount(index, minlength=len(self.count))
+            np.add.at(self.count, index, 1)
             sizes = self.length[index]
             ends = np.cumsum(sizes)
             flat = np.repeat(self.start[index] - ends + sizes, sizes)
@@ -114,7 +125,7 @@ class LibraryIds:
         return out
 
 
-@lru_cache(maxsize=4)
+@model
 def library_ids(path: str) -> LibraryIds:
     """One for each worker process and file."""
     return LibraryIds(path)

@@ -18,6 +18,7 @@ task packs the same rows the same way again.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict, deque
 
 import numpy as np
@@ -28,11 +29,17 @@ from sluice.llm.common import ids_and_texts, slices, sql_type, tokenizer_path
 from sluice.llm.library_ids import library_ids
 
 
-def closest_multiset(counts: dict[int, int], capacity: int) -> dict[int, int]:
-    """Of the lengths with their counts, the multiset whose sum is the largest that is <= capacity."""
+def closest_multiset(counts, capacity: int, lengths: list[int] | None = None) -> dict[int, int]:
+    """Of the lengths with their counts, the multiset whose sum is the largest that is <= capacity.
+
+    counts: length -> number, or things that have one; lengths: its keys in ascending order, if at hand.
+    """
+    lengths = sorted(counts) if lengths is None else lengths
     reach, layers, mask, goal = 1, [], (1 << (capacity + 1)) - 1, 1 << capacity
-    for length in sorted(counts, reverse=True):
-        left, copies = min(counts[length], capacity // length), 1
+    for at in range(bisect_right(lengths, capacity) - 1, -1, -1):
+        length = lengths[at]
+        n = counts[length]
+        left, copies = min(n if isinstance(n, int) else len(n), capacity // length), 1
         while left > 0 and not reach & goal:
             take = min(copies, left)
             layers.append((reach, length, take))
@@ -53,6 +60,7 @@ class Packer:
     def __init__(self, size: int, window: int, first_sequence: int):
         self.size, self.window, self.sequence = size, window, first_sequence
         self.held: dict[int, deque] = {}
+        self.lengths: list[int] = []  # its keys in order
         self.n_held = 0
         self.rows: list[tuple] = []
 
@@ -69,16 +77,24 @@ class Packer:
         for at in range(0, full, self.size):
             self.put([(doc, at, data[at * 4 : (at + self.size) * 4], n)])
         if n > full:
-            self.held.setdefault(n - full, deque()).append((doc, full, bytes(data[full * 4 :]), n))
-            self.n_held += 1
+            self.hold((doc, full, bytes(data[full * 4 :]), n))
             if self.n_held >= self.window:
                 self.fill(self.window // 2)
 
+    def hold(self, piece: tuple) -> None:
+        length = len(piece[2]) // 4
+        if length not in self.held:
+            self.held[length] = deque()
+            insort(self.lengths, length)
+        self.held[length].append(piece)
+        self.n_held += 1
+
     def take(self, length: int) -> tuple:
         queue = self.held[length]
         got = queue.popleft()
         if not queue:
             del self.held[length]
+            del self.lengths[bisect_left(self.lengths, length)]
         self.n_held -= 1
         return got
 
@@ -86,29 +102,27 @@ class Packer:
         """Make full sequences until few enough remainders are held, or none fills exactly."""
         waiting = []
         while self.n_held > down_to and self.held:
-            opener = self.take(max(self.held))
+            opener = self.take(self.lengths[-1])
             free = self.size - len(opener[2]) // 4
-            chosen = closest_multiset({k: len(q) for k, q in self.held.items() if k <= free}, free)
+            chosen = closest_multiset(self.held, free, self.lengths)
             if sum(k * n for k, n in chosen.items()) == free:
                 self.put([opener, *(self.take(k) for k, n in chosen.items() for _ in range(n))])
             else:
                 waiting.append(opener)
         for x in waiting:
-            self.held.setdefault(len(x[2]) // 4, deque()).append(x)
-            self.n_held += 1
+            self.hold(x)
         if self.n_held >= self.window:  # lengths that never fill exactly must not pile up
             self.lay_out(whole_only=True)
 
     def lay_out(self, whole_only: bool) -> None:
         """End to end, cut at the sequence size; the rest at powers of two, or held again."""
-        line = [self.take(max(self.held)) for _ in range(self.n_held)]
+        line = [self.take(self.lengths[-1]) for _ in range(self.n_held)]
         while line:
             room, pieces = self.size, []
             if (left := sum(len(x[2]) // 4 for x in line)) < room:
                 if whole_only:
                     for x in line:
-                        self.held.setdefault(len(x[2]) // 4, deque()).append(x)
-                        self.n_held += 1
+                        self.hold(x)
                     return
                 room = 1 << (left.bit_length() - 1)
             while room:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import fresh_path, ids_and_texts, slices, small_batches, staged, tidy, utf8
+from sluice.llm.common import drop_models, fresh_path, ids_and_texts, slices, small_batches, staged, tidy, utf8
 
 LENGTH, GRAM, SHALLOW = 50, 20, 24
 LAST = np.iinfo(np.int64).max  # a null id
@@ -252,6 +252,7 @@ def write_batches(batches, folder: str, batch_bytes: int):
     filesys, base = files(folder)
     filesys.create_dir(base, recursive=True)
     held, size = [], 0
+    drop_models()
 
     def write():
         name, table = uuid.uuid4().hex, pa.Table.from_batches(held)
@@ -274,6 +275,7 @@ ANCHORS = "part int, batch string, keys binary, contexts binary, base long, widt
 
 
 def send_anchors(batches, folder: str, parts: int):
+    drop_models()
     for name in (x for b in batches for x in b.column(0).to_pylist()):
         batch = read_batch(folder, name)
         batch.find_anchors()
@@ -466,11 +468,13 @@ def remove_repeats(df: DataFrame, batch_bytes: int = 8 << 20, parts: int | None
     answers = sent.repartition(parts, "part").groupBy("part").applyInArrow(answer_anchors, ANSWERS)
 
     def use(key, table):
+        drop_models()
         out = use_answers(key, table, folder, parts)
         tidy()
         return out
 
     def finish(key, table):
+        drop_models()
         out = finish_batch(key, table, folder, texts)
         tidy()
         return out

@@ -15,13 +15,12 @@ often as they went in; columns other than id and text are not read.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sluice.llm import bpe_fst
-from sluice.llm.common import ids_and_texts, slices, sql_type, tokenizer_path, utf8
+from sluice.llm.common import ids_and_texts, model, slices, sql_type, tokenizer_path, utf8
 
 
 class Counter:
@@ -87,7 +86,7 @@ class Counter:
         return len(parts) - 1 + sum(self.count_ordinary(p) for p in parts if p)
 
 
-@lru_cache(maxsize=4)
+@model
 def counter(path: str, chunk_chars: int = 1 << 14) -> Counter:
     return Counter(path, chunk_chars)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import slices, small_batches, sql_type
+from sluice.llm.common import drop_models, slices, small_batches, sql_type
 
 FEATURES = 1 << 16
 STEPS, PENALTY = 8, 4.0
@@ -115,7 +115,7 @@ def train(df: DataFrame, train_rows: int = 20_000, id_col: str = "doc_id", text_
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(c[at])], names=["lang", "feature", "n"])
 
-    few = labelled.select("text", "lang").repartition(8, F.xxhash64("text"))  # a bounded sample
+    few = labelled.repartition(8, F.xxhash64("id")).select("text", "lang")  # a bounded sample
     table = few.mapInArrow(count, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(table.column("lang").unique().to_pylist())
     counts = np.zeros((FEATURES, len(languages)))
@@ -142,6 +142,7 @@ def keep_identified(df: DataFrame, model: Model, least: float = 0.4, text_col: s
     small_batches(df.sparkSession)
 
     def run(batches):
+        drop_models()
         for b in slices(batches, 2 << 20):
             names, scores = model.predict(b.column(at).to_pylist())
             yield b.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))

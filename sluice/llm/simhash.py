@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import drop_staged, ids_and_texts, slices, sql_type, staged, utf8
+from sluice.llm.common import drop_models, drop_staged, ids_and_texts, slices, sql_type, staged, utf8
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
@@ -178,6 +178,7 @@ def near_groups(df: DataFrame, words: int = 5, least: float = 0.8, blocks: int =
     kind = sql_type(df, id_col)
 
     def run(batches):
+        drop_models()
         for b in slices(batches):
             got = [sampled_blocks(t, words, blocks, sample, sketch) for t in utf8(b.column(1).to_pylist())]
             cls, keys, low = zip(*got, strict=True)

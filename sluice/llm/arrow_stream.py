@@ -51,7 +51,7 @@ class StreamWriter:
             ids = flat[at : min(at + step, whole)]
             real, pad = len(ids), -len(ids) % self.length
             ids = np.concatenate([ids, np.zeros(pad, self.dtype)]) if pad else ids
-            self.offsets.append(self.sink.tell())
+            self.offsets.append(self.sink.tell() or len(self.schema.serialize()))  # the schema goes out with the first batch
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, np.arange(len(ids)) < real)]
             self.writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
         self.total += whole

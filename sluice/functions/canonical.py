@@ -45,9 +45,14 @@ def scalar(value) -> str | None:
     return None
 
 
+def number_column(text: Column) -> Column:
+    """A JSON number's value with up to 20 digits before and 18 after the point, else null."""
+    return F.when(text.rlike(f"^(?:{NUMBER})$") & (F.length(text) <= DIGITS + 4), text.try_cast("decimal(38,18)"))
+
+
 def numeric_column(text: Column) -> Column:
     """numeric() for a column of texts: the same spelling, exact for up to 38 digits with up to 18 of fraction, else null."""
-    value = F.when(text.rlike(f"^(?:{NUMBER})$") & (F.length(text) <= DIGITS + 4), text.try_cast("decimal(38,18)"))
+    value = number_column(text)
     shown = F.regexp_replace(F.regexp_replace(value.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
     return F.when(value == 0, F.lit("0")).otherwise(shown)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sluice.catalog import Table
 from sluice.functions import canonical, timestamps
 from sluice.operators.aggregates import col
+from sluice.operators.once import once
 from sluice.policy import WriteGrant
 
 MAX_RESULTS = 10_000
@@ -56,29 +57,32 @@ def field(name: str) -> Column:
 def prepare(records: DataFrame, table: Table, grant: WriteGrant, dedupe: Dedupe = Dedupe()) -> DataFrame:
     """records (index, raw, error) -> (index, status, reason, id, one text column for each insertable column)."""
     checks = grant.checks(table)
-    df = records.withColumn("_v", F.when(F.col("error").isNull(), F.try_parse_json("raw"))).withColumn("_map", F.when(F.col("error").isNull(), F.from_json(quoted_numbers(F.col("raw")), "map<string,string>"))).withColumn("_plain", F.when(F.col("error").isNull(), F.from_json("raw", "map<string,string>")))
+    good = F.col("error").isNull()
+    df = once(records, {"_v": F.when(good, F.try_parse_json("raw")), "_map": F.when(good, F.from_json(quoted_numbers(F.col("raw")), "map<string,string>")), "_plain": F.when(good, F.from_json("raw", "map<string,string>"))})
+    df = once(df, {f"_t{k}": field(c.name) for k, c in enumerate(table.insertable)} | {f"_k{k}": kind(F.try_variant_get("_v", "$['" + c.name.replace("'", "\\'") + "']", "variant")) for k, c in enumerate(table.insertable)})
+    texts = {c.name: F.col(f"_t{k}") for k, c in enumerate(table.insertable)}
+    kinds = {c.name: F.col(f"_k{k}") for k, c in enumerate(table.insertable)}
     df = df.withColumn("_keys", F.coalesce(F.map_keys("_map"), F.array().cast("array<string>")))
     faults = [(F.col("error").isNotNull(), F.col("error"))]
     unknown = F.array_except("_keys", F.array(*(F.lit(c) for c in table.names)))
     faults.append((F.size(unknown) > 0, F.concat(F.lit("unknown column "), F.element_at(unknown, 1))))
     for c in table.columns:
         has = F.array_contains("_keys", c.name)
-        k = kind(F.try_variant_get("_v", "$['" + c.name.replace("'", "\\'") + "']", "variant"))
         if not c.insertable:
             faults.append((has, f"computed column {c.name}"))
             continue
         if c.required and c.name not in checks:
             faults.append((~has, f"missing required column {c.name}"))
         if not c.type.nullable and c.default_kind == "":
-            faults.append((has & field(c.name).isNull(), f"null in column {c.name}"))
+            faults.append((has & texts[c.name].isNull(), f"null in column {c.name}"))
         if c.type.json:
-            faults.append((field(c.name).isNotNull() & ~k.isin(*sorted(c.type.json)), f"wrong type for column {c.name}"))
+            faults.append((texts[c.name].isNotNull() & ~kinds[c.name].isin(*sorted(c.type.json)), f"wrong type for column {c.name}"))
     if grant.insert is not None:
         denied = F.array_except("_keys", F.array(*(F.lit(c) for c in table.names if grant.column(c))))
         faults.append((F.size(denied) > 0, F.concat(F.lit("column not allowed "), F.element_at(denied, 1))))
-    stored = {c.name: field(c.name) for c in table.insertable}
+    stored = dict(texts)
     for name, (op, values) in checks.items():
-        has, text = F.array_contains("_keys", name), field(name)
+        has, text = F.array_contains("_keys", name), texts[name]
         numbers = [n for v in values if (n := canonical.numeric(v)) is not None]
         same = F.coalesce(text.isin(*values) if values else F.lit(False), F.lit(False))
         if numbers:
@@ -89,15 +93,16 @@ def prepare(records: DataFrame, table: Table, grant: WriteGrant, dedupe: Dedupe
     for c in table.insertable:
         if c.type.kind == "time":
             stored[c.name] = timestamps.canonical_column(stored[c.name], c.type)
-    rid = field(dedupe.id_field) if dedupe.id_field else F.lit(None).cast("string")
+    rid = (texts[dedupe.id_field] if dedupe.id_field in texts else field(dedupe.id_field)) if dedupe.id_field else F.lit(None).cast("string")
     if dedupe.id_field and dedupe.require_id:
         faults.append((rid.isNull(), f"missing id {dedupe.id_field}"))
-    out = df.select("index", first(*faults).alias("reason"), rid.alias("id"), *(v.alias(f"c_{n}") for n, v in stored.items()))
+    out = once(df, {"reason": first(*faults), "id": rid} | {f"c_{n}": v for n, v in stored.items()}, ["index"])
     if dedupe.id_field:
-        earlier = F.row_number().over(Window.partitionBy("id").orderBy("index")) > 1
-        good = out.filter(F.col("reason").isNull() & F.col("id").isNotNull()).withColumn("status", F.when(earlier, "duplicate").otherwise("ok"))
-        rest = out.filter(F.col("reason").isNotNull() | F.col("id").isNull()).withColumn("status", F.when(F.col("reason").isNull(), "ok").otherwise("error"))
-        out = good.unionByName(rest)
+        # rows without an id, or at fault, are each a group of their own: no union, one read
+        good = F.col("reason").isNull() & F.col("id").isNotNull()
+        alone = F.when(~good, F.col("index"))
+        earlier = F.row_number().over(Window.partitionBy("id", alone).orderBy(good.desc(), "index")) > 1
+        out = out.withColumn("status", F.when(F.col("reason").isNotNull(), "error").when(good & earlier, "duplicate").otherwise("ok"))
     else:
         out = out.withColumn("status", F.when(F.col("reason").isNull(), "ok").otherwise("error"))
     return out.select("index", "status", "reason", "id", *(F.col(f"`c_{n}`").alias(n) if n not in ("index", "status", "reason", "id") else F.col(f"`c_{n}`").alias(f"c_{n}") for n in stored))
@@ -131,9 +136,9 @@ def typed(rows: DataFrame, table: Table) -> tuple[DataFrame, DataFrame]:
         faults = F.array_append(faults, F.when(text.isNotNull() & value.isNull(), F.lit(c.name)))
         default = F.expr(c.default) if c.default and c.default_kind in ("DEFAULT", "EPHEMERAL") else None
         cast[c.name] = F.coalesce(value, default.cast(value_type(c))) if default is not None else value
-    marked = rows.withColumn("_bad", F.array_compact(faults))
+    marked = once(rows, {"_bad": F.array_compact(faults)} | {f"_s_{n}": v for n, v in cast.items()})
     bad = marked.filter(F.size("_bad") > 0).select(F.to_json(F.struct(*(col(c.name) for c in table.insertable))).alias("payload"), F.concat(F.lit("cannot store "), F.concat_ws(", ", "_bad")).alias("error"))
-    good = marked.filter(F.size("_bad") == 0).select(*(v.alias(n) for n, v in cast.items()))
+    good = marked.filter(F.size("_bad") == 0).select(*(col(f"_s_{n}").alias(n) for n in cast))
     for c in table.columns:
         if c.default_kind == "MATERIALIZED":
             good = good.withColumn(c.name, F.expr(c.default))

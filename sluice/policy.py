@@ -110,6 +110,9 @@ class Predicate:
         if self.values is None or spec is None:
             return F.lit(False)
         c = col(self.column).cast("string") if payload is None else payload
+        if self.op == "in" and spec.type.kind == "integer":  # one reading of the payload for all values
+            n, good = canonical.number_column(c), [v for v in self.values if self.one(c, v, spec.type) is not None]
+            return F.coalesce(n.isin(*(F.lit(v).try_cast("decimal(38,18)") for v in good)) & (n == F.floor(n)), F.lit(False)) if good else F.lit(False)
         hits = [self.one(c, v, spec.type) for v in self.values]
         hits = [h for h in hits if h is not None]
         if not hits:
@@ -127,18 +130,18 @@ class Predicate:
         if of.kind == "integer":
             if canonical.numeric(value) != value or "." in value or not of.low <= int(value) <= of.high:
                 return None  # only the one spelling of an integer in range matches anything
-            n = F.when(canonical.numeric_column(c).rlike(r"^-?\d+$"), canonical.numeric_column(c).cast("decimal(38,0)"))
-            inside = n.between(F.lit(str(max(of.low, -(10**37)))).cast("decimal(38,0)"), F.lit(str(min(of.high, 10**37))).cast("decimal(38,0)"))
-            return F.when(inside, compare(n, F.lit(value).cast("decimal(38,0)")))
+            n = canonical.number_column(c)
+            low, high = (F.lit(str(min(max(x, -(10**20 - 1)), 10**20 - 1))).cast("decimal(38,18)") for x in (of.low, of.high))
+            return F.when((n == F.floor(n)) & n.between(low, high), compare(n, F.lit(value).try_cast("decimal(38,18)")))
         if of.kind == "float":
             if canonical.numeric(value) is None:
                 return None
-            return F.when(canonical.numeric_column(c).isNotNull(), compare(c.try_cast(of.spark), F.lit(value).cast(of.spark)))
+            return F.when(canonical.number_column(c).isNotNull(), compare(c.try_cast(of.spark), F.lit(value).cast(of.spark)))
         if of.kind == "decimal":
             if canonical.numeric(value) is None or of.precision > 38:
                 return None
             cut = lambda x: canonical.truncate(x.try_cast("decimal(38,18)"), of.precision, of.scale)
-            return F.when(canonical.numeric_column(c).isNotNull(), compare(cut(c), cut(F.lit(value))))
+            return F.when(canonical.number_column(c).isNotNull(), compare(cut(c), cut(F.lit(value))))
         if of.kind == "time":
             at = timestamps.parse_column(F.lit(value), of)
             return compare(timestamps.parse_column(c, of), at)

@@ -242,7 +242,7 @@ def log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CLEAN = "event_id % 200 NOT IN (50, 100, 150)"
-add("log_poison", "SELECT CASE event_id % 200 WHEN 50 THEN 'unknown_format' WHEN 100 THEN 'unpairable' ELSE 'malformed' END AS reason, count(*) AS n FROM events WHERE event_id % 200 IN (50, 100, 150) GROUP BY 1", lambda spark, sf: (lambda e: e.withColumn("reason", eventlog.poison(e)).filter("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n")))(log(spark, sf)))
+add("log_poison", "SELECT CASE event_id % 200 WHEN 50 THEN 'unknown_format' WHEN 100 THEN 'unpairable' ELSE 'malformed' END AS reason, count(*) AS n FROM events WHERE event_id % 200 IN (50, 100, 150) GROUP BY 1", lambda spark, sf: (lambda e: e.withColumn("reason", eventlog.poison()).filter("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n")))(log(spark, sf)))
 add("log_replay_since", "SELECT event_id AS seq FROM events WHERE ts >= TIMESTAMP '2024-01-25 06:00:00'", lambda spark, sf: log(spark, sf).filter(F.col("received_timestamp") >= F.lit("2024-01-25 06:00:00").cast("timestamp")).select("seq"))
 add("log_retention", "SELECT event_id AS seq FROM events WHERE event_id >= least(401, (SELECT min(event_id) FROM events WHERE ts >= TIMESTAMP '2024-01-20'))", lambda spark, sf: eventlog.retained(log(spark, sf), 400, F.lit("2024-01-20").cast("timestamp")).select("seq"))
 add("log_dlq_counts", f"SELECT 'events' AS \"table\", count(*) AS n FROM events WHERE {CLEAN} AND event_id % 9 = 0", lambda spark, sf: _dead(spark, sf))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sluice.catalog import Table
 from sluice.errors import QueueFull
 from sluice.operators.aggregates import col
+from sluice.operators.once import once
 
 ENVELOPE = "tenant string, table_name string, scope string, seq long, received_timestamp timestamp, format string, columns array<string>, row string"
 
@@ -35,22 +36,22 @@ def publish(events: DataFrame, path: str, max_bytes: int = 0) -> None:
     events.write.mode("append").partitionBy("tenant", "table_name").parquet(path)
 
 
-def poison(events: DataFrame) -> Column:
-    """Why an envelope can't be paired with columns; null if it can."""
-    values = F.from_json("row", "array<string>")
+def poison(values: Column | None = None) -> Column:
+    """Why an envelope can't be paired with columns; null if it can.  values: the row's, if they're at hand."""
+    values = F.from_json("row", "array<string>") if values is None else values
     return (
         F.when(F.col("table_name").isNull() | F.col("row").isNull(), "malformed").when(F.col("format") != "json_compact", "unknown_format")
-        .when(values.isNull() | F.try_parse_json("row").isNull(), "malformed").when(F.coalesce(F.size("columns"), F.lit(0)) <= 0, "unpairable")
+        .when(values.isNull() | ~F.rtrim("row").endswith("]"), "malformed").when(F.coalesce(F.size("columns"), F.lit(0)) <= 0, "unpairable")
         .when(F.size(F.array_distinct("columns")) != F.size("columns"), "unpairable").when(F.size("columns") != F.size(values), "unpairable")
     )
 
 
 def decode(events: DataFrame, table: Table) -> DataFrame:
     """Clean envelopes of a table with a text column for each of its columns, whatever column list each was written with."""
-    clean = poison(events).isNull()
+    parsed = once(events, {"_values": F.from_json("row", "array<string>")})
+    clean = poison(F.col("_values")).isNull()
     # guarded once more: a pushed-down filter may look at the pairs of rows that aren't clean
-    pairs = F.when(clean, F.map_from_arrays("columns", F.from_json("row", "array<string>")))
-    good = events.filter(clean).withColumn("_pairs", pairs)
+    good = parsed.filter(clean).withColumn("_pairs", F.when(clean, F.map_from_arrays("columns", "_values")))
     return good.select("tenant", "scope", "seq", "received_timestamp", "columns", *(F.element_at("_pairs", c.name).alias(c.name) for c in table.insertable))
 
 

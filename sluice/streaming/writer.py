@@ -24,7 +24,7 @@ def write_batch(events: DataFrame, batch: int, table: Table, target: str, dlq: s
         good, bad = ingest.typed(eventlog.decode(events, table), table)
         good.write.mode("overwrite").parquet(f"{target}/batch={batch}")
         if dlq:
-            sick = events.withColumn("error", eventlog.poison(events)).filter("error is not null").select(F.to_json(F.struct("columns", "row")).alias("payload"), "error")
+            sick = events.withColumn("error", eventlog.poison()).filter("error is not null").select(F.to_json(F.struct("columns", "row")).alias("payload"), "error")
             eventlog.dead_letters(bad.unionByName(sick), table.name, F.current_timestamp()).write.mode("overwrite").parquet(f"{dlq}/batch={batch}")
         elif bad.limit(1).count():
             raise ValueError(f"rows that can't be stored and no dead-letter table: {table.name}")

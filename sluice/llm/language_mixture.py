@@ -104,6 +104,7 @@ def train(df: DataFrame, train_rows: int = 20_000, id_col: str = "doc_id", text_
         labelled = labelled.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(1_000_003 * train_rows / n))
 
     def count(batches):
+        drop_models()
         totals: dict[str, np.ndarray] = {}
         for b in slices(batches):
             flat, bounds = ngrams(b.column(0).to_pylist())

@@ -126,6 +126,6 @@ class LibraryIds:
 
 
 @model
-def library_ids(path: str) -> LibraryIds:
-    """One for each worker process and file."""
-    return LibraryIds(path)
+def library_ids(path: str, keep: int = 600_000) -> LibraryIds:
+    """One for each worker process, file and size."""
+    return LibraryIds(path, keep)

@@ -139,17 +139,17 @@ class Packer:
         self.lay_out(whole_only=False)
 
 
-def pack(df: DataFrame, path: str, size: int = 2048, end_id: int = 1, window: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(df: DataFrame, path: str, size: int = 2048, end_id: int = 1, window: int = 4096, keep: int = 600_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece: id, start and length in the document, ids_crc32, doc_tokens, sequence_id, offset in the sequence.
 
-    size must be a power of two.
+    size must be a power of two; keep bounds the pre-tokens that a worker remembers (memory against speed).
     """
     kind = sql_type(df, id_col)
 
     def run(batches):
         from pyspark import TaskContext
 
-        encode, packer, id_type = library_ids(path), None, None
+        encode, packer, id_type = library_ids(path, keep), None, None
 
         def out():
             cols = list(zip(*packer.rows, strict=True))

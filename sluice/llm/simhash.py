@@ -138,6 +138,13 @@ def majority(h: np.ndarray) -> int:
     return bits - (1 << 64) if bits >> 63 else bits
 
 
+def mix(h: np.ndarray, seed: int) -> np.ndarray:
+    """Another hash of each hash.  Two rounds: with one, the order under different seeds would be correlated."""
+    m = (h ^ np.uint64(0x9E3779B97F4A7C15 * (seed + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    m = (m ^ (m >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return m ^ (m >> np.uint64(29))
+
+
 def sampled_blocks(text: bytes, words: int, blocks: int, sample: int, sketch: int) -> tuple[int, list[int], bytes]:
     """A class of equal word sequences, a fingerprint of ``blocks`` blocks, and the ``sketch`` smallest shingle hashes.
 
@@ -152,8 +159,7 @@ def sampled_blocks(text: bytes, words: int, blocks: int, sample: int, sketch: in
     cls = xxh64_intdigest(b" ".join(w), 42)
     out = []
     for k in range(blocks):
-        mixed = (h ^ (h >> np.uint64(31))) * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 3) | 1) & (1 << 64) - 1)
-        mixed ^= mixed >> np.uint64(29)
+        mixed = mix(h, k)
         first = np.argpartition(mixed, sample)[:sample] if len(h) > sample else slice(None)
         out.append(majority(h[first]))
     low = np.sort((h >> np.uint64(32)).astype("<u4"))[:sketch]

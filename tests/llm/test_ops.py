@@ -326,6 +326,18 @@ def test_near_copies(spark):
         assert sorted(r.doc_id for r in simhash.one_of_each(df, pair_limit=limit).collect()) == [0, *range(41, 81)]
 
 
+def test_blocks_are_independent():
+    """Texts of similarity s share a block with probability 1 - (1 - s ** 3) ** 12, not less."""
+    rnd = random.Random(5)
+    missed = 0
+    for _ in range(400):
+        own = [str(rnd.random()) for _ in range(170)]
+        other = own[:60] + ["x"] + own[61:100] + ["y"] + own[101:]  # 156 of 176 shingles: 0.886
+        a, b = (simhash.sampled_blocks(" ".join(t).encode(), 5, 12, 3, 192)[1] for t in (own, other))
+        missed += not any(x == y for x, y in zip(a, b, strict=True))
+    assert missed == 0
+
+
 def test_arrow_stream(spark, sf, ids):
     at = 0
     for r in QUERIES["op9_arrow_stream"](spark, sf).orderBy("doc_id").collect():

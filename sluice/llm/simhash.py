@@ -175,11 +175,33 @@ def similarity(a: bytes, b: bytes, sketch: int) -> float:
     return float(np.isin(both, np.intersect1d(x, y)).mean()) if len(both) else 1.0
 
 
-def near_groups(df: DataFrame, words: int = 5, least: float = 0.8, blocks: int = 12, sample: int = 3, sketch: int = 192, pair_limit: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def split_keys(low: bytes, keys: list[int], level: int, copies: int) -> list[int]:
+    """Each key split by the two smallest of a few hashes of the sketch, in ``copies`` independent ways.
+
+    Sketches under one key agree on a split with probability similarity ** 2.
+    """
+    from xxhash import xxh64_intdigest
+
+    h = np.frombuffer(low, "<u4").astype(np.uint64)
+    out = []
+    for key in keys:
+        for copy in range(copies):
+            seed = xxh64_intdigest(f"{key},{level},{copy}", 42)
+            least = [mix(h, seed).min(), mix(h, seed + 1).min()]
+            got = xxh64_intdigest(np.array(least, "<u8").tobytes(), seed)
+            out.append(got - (1 << 64) if got >> 63 else got)
+    return out
+
+
+def near_groups(df: DataFrame, words: int = 5, least: float = 0.8, blocks: int = 12, sample: int = 3, sketch: int = 192, pair_limit: int = 24, copies: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, group) for rows that aren't the smallest id of their group of near copies.
 
     Candidates share a block; each is verified.  A block with more than ``pair_limit``
-    classes links each to the smallest id under it, if similar, and emits no pairs.
+    classes (a crowd) emits no pairs: each class is compared with one of them, the centre.
+    A crowd whose classes then are all in one group is done.  Any other is split by more
+    hashes of its sketches, first in ``copies`` ways, each part anew with pairs or a
+    centre of its own, until no crowd holds two groups: classes are compared or told
+    apart by their shingles, never dropped.
     """
     kind = sql_type(df, id_col)
 
@@ -195,19 +217,40 @@ def near_groups(df: DataFrame, words: int = 5, least: float = 0.8, blocks: int =
             good = [similarity(x, y, sketch) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    def split(level):
+        def run(batches):
+            for b in slices(batches):
+                keys = [split_keys(low, old, level, copies if level == 1 else 1) for low, old in zip(b.column(3).to_pylist(), b.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["id", "part", "keys"])
+
+        return run
+
     rows = staged(ids_and_texts(df, id_col, text_col).filter("id is not null").mapInArrow(run, f"id {kind}, cls long, blocks array<long>, sketch binary"), "near-rows")
     classes = staged(rows.groupBy("cls").agg(F.min("id").alias("head")), "near-classes")
     heads = staged(rows.join(classes, (rows.cls == classes["cls"]) & (rows.id == classes["head"]), "left_semi").dropDuplicates(["id"]), "near-heads")
-    keyed = heads.select("id", F.posexplode("blocks").alias("n", "bits"))
-    sizes = keyed.groupBy("n", "bits").agg(F.count("*").alias("size"), F.min("id").alias("center")).filter("size > 1")
-    shared = staged(keyed.join(sizes, ["n", "bits"]), "near-keys")
-    few = shared.filter(F.col("size") <= pair_limit)
-    pairs = few.select("n", "bits", F.col("id").alias("a")).join(few.select("n", "bits", F.col("id").alias("b")), ["n", "bits"]).filter("a < b").select("a", "b")
-    star = shared.filter((F.col("size") > pair_limit) & (F.col("id") > F.col("center"))).select(F.col("center").alias("a"), F.col("id").alias("b"))
     sketches = heads.select("id", "sketch")
-    candidates = pairs.union(star).distinct()
-    joined = candidates.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    root = smallest_reachable(staged(joined.mapInArrow(verify, f"a {kind}, b {kind}"), "near-links"))
+    # part: the group known so far; two of one part needn't be compared
+    keyed = heads.select("id", F.col("id").alias("part"), F.posexplode("blocks").alias("n", "bits")).select("id", "part", F.xxhash64("n", "bits").alias("key"))
+    links, level = None, 0
+    while True:
+        center = F.min_by(F.struct("id", "part"), F.struct(F.xxhash64("id", F.lit(level)), "id")) if level else F.min(F.struct("id", "part"))
+        sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), center.alias("center"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+        shared = staged(keyed.join(sizes.filter("lo < hi").select("key", "size", "center"), "key"), "near-keys")
+        few = shared.filter(F.col("size") <= pair_limit)
+        pairs = few.select("key", F.col("id").alias("a"), F.col("part").alias("pa")).join(few.select("key", F.col("id").alias("b"), F.col("part").alias("pb")), "key").filter("a < b AND pa <> pb").select("a", "b")
+        star = shared.filter((F.col("size") > pair_limit) & (F.col("part") != F.col("center.part"))).select(F.least("id", "center.id").alias("a"), F.greatest("id", "center.id").alias("b"))
+        joined = pairs.union(star).distinct().join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+        found = staged(joined.mapInArrow(verify, f"a {kind}, b {kind}"), "near-links")
+        links = found if links is None else links.union(found)
+        root = smallest_reachable(links)
+        crowd = shared.filter(F.col("size") > pair_limit).select("key", "id").join(root, F.col("id") == root.node, "left").select("key", "id", F.coalesce("root", "id").alias("part"))
+        mixed = crowd.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
+        members = staged(crowd.join(mixed, "key", "left_semi").groupBy("id").agg(F.min("part").alias("part"), F.collect_set("key").alias("keys")), "near-crowds")
+        if members.isEmpty():
+            break
+        level += 1
+        cut = members.join(sketches, "id").select("id", "part", "keys", "sketch").mapInArrow(split(level), f"id {kind}, part {kind}, keys array<long>")
+        keyed = staged(cut, "near-splits").select("id", "part", F.explode("keys").alias("key"))
     grouped = classes.join(root, classes["head"] == root.node, "left").select("cls", F.coalesce("root", "head").alias("group"))
     return rows.select("id", "cls").join(grouped, "cls").filter("id != group").select("id", "group")
 

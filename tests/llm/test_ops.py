@@ -338,6 +338,32 @@ def test_blocks_are_independent():
     assert missed == 0
 
 
+def test_near_copies_in_crowds(spark):
+    """Texts that share most of a passage and chains of edits: crowds give the groups of all pairs."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    passage = [word() for _ in range(110)]
+    texts = []
+    for _ in range(40):  # pairs whose texts are 0.9 alike, 0.5 and so like all others
+        own = [word() for _ in range(50)]
+        texts += [passage + own, passage + own[:40] + [word()] + own[41:]]
+    chain = [word() for _ in range(170)]
+    for k in range(30):  # each like the next, the ends unlike
+        chain = chain[:6 * k % 170] + [word()] + chain[6 * k % 170 + 1 :]
+        texts.append(chain)
+    rnd.shuffle(texts)
+    sets = [{" ".join(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = [new if g == old else g for g in group]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.id: r.group for r in simhash.near_groups(df, pair_limit=8).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == group
+
+
 def test_arrow_stream(spark, sf, ids):
     at = 0
     for r in QUERIES["op9_arrow_stream"](spark, sf).orderBy("doc_id").collect():

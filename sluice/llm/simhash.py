@@ -231,7 +231,7 @@ def near_groups(df: DataFrame, words: int = 5, least: float = 0.8, blocks: int =
     sketches = heads.select("id", "sketch")
     # part: the group known so far; two of one part needn't be compared
     keyed = heads.select("id", F.col("id").alias("part"), F.posexplode("blocks").alias("n", "bits")).select("id", "part", F.xxhash64("n", "bits").alias("key"))
-    links, level = None, 0
+    root, level = None, 0
     while True:
         center = F.min_by(F.struct("id", "part"), F.struct(F.xxhash64("id", F.lit(level)), "id")) if level else F.min(F.struct("id", "part"))
         sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), center.alias("center"), F.min("part").alias("lo"), F.max("part").alias("hi"))
@@ -241,8 +241,10 @@ def near_groups(df: DataFrame, words: int = 5, least: float = 0.8, blocks: int =
         star = shared.filter((F.col("size") > pair_limit) & (F.col("part") != F.col("center.part"))).select(F.least("id", "center.id").alias("a"), F.greatest("id", "center.id").alias("b"))
         joined = pairs.union(star).distinct().join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
         found = staged(joined.mapInArrow(verify, f"a {kind}, b {kind}"), "near-links")
-        links = found if links is None else links.union(found)
-        root = smallest_reachable(links)
+        if root is None:
+            root = smallest_reachable(found)
+        elif not found.isEmpty():
+            root = smallest_reachable(root.toDF("a", "b").union(found))
         crowd = shared.filter(F.col("size") > pair_limit).select("key", "id").join(root, F.col("id") == root.node, "left").select("key", "id", F.coalesce("root", "id").alias("part"))
         mixed = crowd.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
         members = staged(crowd.join(mixed, "key", "left_semi").groupBy("id").agg(F.min("part").alias("part"), F.collect_set("key").alias("keys")), "near-crowds")

@@ -145,29 +145,33 @@ def mix(h: np.ndarray, seed: int) -> np.ndarray:
     return m ^ (m >> np.uint64(29))
 
 
-def sampled_blocks(text: bytes, words: int, blocks: int, sample: int, sketch: int) -> tuple[int, list[int], bytes]:
-    """A class of equal word sequences, a fingerprint of ``blocks`` blocks, and the ``sketch`` smallest shingle hashes.
-
-    Block k is the SimHash of the ``sample`` shingles that come first under the k-th
-    hash, so texts of similarity s share it with probability s ** sample.
-    """
+def shingle_set(text: bytes, words: int) -> tuple[int, np.ndarray]:
+    """A class of equal word sequences, and the sorted hashes of all shingles."""
     from xxhash import xxh64_intdigest
 
     w = text.lower().split()
     shingles = {b" ".join(s) for s in zip(*(w[k:] for k in range(words)), strict=False)} if len(w) >= words else {b" ".join(w)}
-    h = np.fromiter((xxh64_intdigest(s, 42) for s in shingles), np.uint64, len(shingles))
     cls = xxh64_intdigest(b" ".join(w), 42)
+    return cls - (1 << 64) if cls >> 63 else cls, np.unique(np.fromiter((xxh64_intdigest(s, 42) for s in shingles), np.uint64, len(shingles)))
+
+
+def sampled_blocks(text: bytes, words: int, blocks: int, sample: int, sketch: int) -> tuple[int, list[int], bytes, int]:
+    """A class of equal word sequences, a fingerprint of ``blocks`` blocks, the ``sketch`` smallest shingle hashes, and the number of shingles.
+
+    Block k is the SimHash of the ``sample`` shingles that come first under the k-th
+    hash, so texts of similarity s share it with probability s ** sample.
+    """
+    cls, h = shingle_set(text, words)
     out = []
     for k in range(blocks):
         mixed = mix(h, k)
         first = np.argpartition(mixed, sample)[:sample] if len(h) > sample else slice(None)
         out.append(majority(h[first]))
-    low = np.sort((h >> np.uint64(32)).astype("<u4"))[:sketch]
-    return cls - (1 << 64) if cls >> 63 else cls, out, low.tobytes()
+    return cls, out, (h[:sketch] >> np.uint64(32)).astype("<u4").tobytes(), len(h)
 
 
 def similarity(a: bytes, b: bytes, sketch: int) -> float:
-    """Jaccard similarity of shingle sets from their smallest hashes; exact if neither has more than ``sketch``."""
+    """Jaccard similarity of shingle sets as their smallest hashes estimate it; only good to tell pairs far apart."""
     x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
     both = np.union1d(x, y)
     if len(x) >= sketch or len(y) >= sketch:
@@ -175,6 +179,13 @@ def similarity(a: bytes, b: bytes, sketch: int) -> float:
     return float(np.isin(both, np.intersect1d(x, y)).mean()) if len(both) else 1.0
 
 
+def exact_similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of whole shingle sets."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
 def split_keys(low: bytes, keys: list[int], level: int, copies: int) -> list[int]:
     """Each key split by the two smallest of a few hashes of the sketch, in ``copies`` independent ways.
 
@@ -193,10 +204,12 @@ def split_keys(low: bytes, keys: list[int], level: int, copies: int) -> list[int
     return out
 
 
-def near_groups(df: DataFrame, words: int = 5, least: float = 0.8, blocks: int = 12, sample: int = 3, sketch: int = 192, pair_limit: int = 24, copies: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(df: DataFrame, words: int = 5, least: float = 0.8, blocks: int = 12, sample: int = 3, sketch: int = 192, pair_limit: int = 24, copies: int = 3, slack: float = 0.25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, group) for rows that aren't the smallest id of their group of near copies.
 
-    Candidates share a block; each is verified.  A block with more than ``pair_limit``
+    Candidates share a block.  Those whose sketches are less than ``least - slack`` alike are
+    left out (a pair of similarity 0.8 is with probability 1e-14); the others are verified on
+    their whole shingle sets.  A block with more than ``pair_limit``
     classes (a crowd) emits no pairs: each class is compared with one of them, the centre.
     A crowd whose classes then are all in one group is done.  Any other is split by more
     hashes of its sketches, first in ``copies`` ways, each part anew with pairs or a
@@ -204,57 +217,80 @@ def near_groups(df: DataFrame, words: int = 5, least: float = 0.8, blocks: int =
     apart by their shingles, never dropped.
     """
     kind = sql_type(df, id_col)
+    texts = ids_and_texts(df, id_col, text_col).filter("id is not null")
 
     def run(batches):
         drop_models()
         for b in slices(batches):
             got = [sampled_blocks(t, words, blocks, sample, sketch) for t in utf8(b.column(1).to_pylist())]
-            cls, keys, low = zip(*got, strict=True)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())], names=["id", "cls", "blocks", "sketch"])
+            cls, keys, low, n = zip(*got, strict=True)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary()), pa.array(n, pa.int32())], names=["id", "cls", "blocks", "sketch", "n"])
 
-    def verify(batches):
-        for b in slices(batches):
-            good = [similarity(x, y, sketch) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+    def shingle(batches):
+        for b in slices(batches, 1 << 20):
+            cls, sets = zip(*(shingle_set(t, words) for t in utf8(b.column(1).to_pylist())), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], names=["cls", "set"])
+
+    def kept(good):
+        def run(batches):
+            for b in slices(batches):
+                yes = [good(x, y) for x, y in zip(b.column(2), b.column(3), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(yes, pa.bool_()))
+
+        return run
+
+    screen = kept(lambda x, y: similarity(x.as_buffer(), y.as_buffer(), sketch) >= least - slack)
+    verify = kept(lambda x, y: exact_similarity(x.as_buffer(), y.as_buffer()) >= least)
 
     def split(level):
         def run(batches):
             for b in slices(batches):
                 keys = [split_keys(low, old, level, copies if level == 1 else 1) for low, old in zip(b.column(3).to_pylist(), b.column(2).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["id", "part", "keys"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["cls", "part", "keys"])
 
         return run
 
-    rows = staged(ids_and_texts(df, id_col, text_col).filter("id is not null").mapInArrow(run, f"id {kind}, cls long, blocks array<long>, sketch binary"), "near-rows")
+    def whole_sets(wanted):
+        """(cls, set) of the wanted classes, from the texts of their heads."""
+        ids = classes.join(wanted, "cls", "left_semi").select(F.col("head").alias("id"))
+        sets = texts.join(ids, "id", "left_semi").mapInArrow(shingle, "cls long, set binary")
+        return staged(sets.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "near-sets")
+
+    def both(pairs, table, col):
+        return pairs.join(table.select(F.col("cls").alias("a"), F.col(col).alias("sa")), "a").join(table.select(F.col("cls").alias("b"), F.col(col).alias("sb")), "b").select("a", "b", "sa", "sb")
+
+    rows = staged(texts.mapInArrow(run, f"id {kind}, cls long, blocks array<long>, sketch binary, n int"), "near-rows")
     classes = staged(rows.groupBy("cls").agg(F.min("id").alias("head")), "near-classes")
-    heads = staged(rows.join(classes, (rows.cls == classes["cls"]) & (rows.id == classes["head"]), "left_semi").dropDuplicates(["id"]), "near-heads")
-    sketches = heads.select("id", "sketch")
+    heads = staged(rows.join(classes, (rows.cls == classes["cls"]) & (rows.id == classes["head"]), "left_semi").dropDuplicates(["cls"]), "near-heads")
+    sketches = heads.select("cls", "sketch")
     # part: the group known so far; two of one part needn't be compared
-    keyed = heads.select("id", F.col("id").alias("part"), F.posexplode("blocks").alias("n", "bits")).select("id", "part", F.xxhash64("n", "bits").alias("key"))
+    keyed = heads.select("cls", F.col("cls").alias("part"), F.posexplode("blocks").alias("k", "bits")).select("cls", "part", F.xxhash64("k", "bits").alias("key"))
     root, level = None, 0
     while True:
-        center = F.min_by(F.struct("id", "part"), F.struct(F.xxhash64("id", F.lit(level)), "id")) if level else F.min(F.struct("id", "part"))
+        center = F.min_by(F.struct("cls", "part"), F.struct(F.xxhash64("cls", F.lit(level)), "cls")) if level else F.min(F.struct("cls", "part"))
         sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), center.alias("center"), F.min("part").alias("lo"), F.max("part").alias("hi"))
         shared = staged(keyed.join(sizes.filter("lo < hi").select("key", "size", "center"), "key"), "near-keys")
         few = shared.filter(F.col("size") <= pair_limit)
-        pairs = few.select("key", F.col("id").alias("a"), F.col("part").alias("pa")).join(few.select("key", F.col("id").alias("b"), F.col("part").alias("pb")), "key").filter("a < b AND pa <> pb").select("a", "b")
-        star = shared.filter((F.col("size") > pair_limit) & (F.col("part") != F.col("center.part"))).select(F.least("id", "center.id").alias("a"), F.greatest("id", "center.id").alias("b"))
-        joined = pairs.union(star).distinct().join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-        found = staged(joined.mapInArrow(verify, f"a {kind}, b {kind}"), "near-links")
+        pairs = few.select("key", F.col("cls").alias("a"), F.col("part").alias("pa")).join(few.select("key", F.col("cls").alias("b"), F.col("part").alias("pb")), "key").filter("a < b AND pa <> pb").select("a", "b")
+        star = shared.filter((F.col("size") > pair_limit) & (F.col("part") != F.col("center.part"))).select(F.least("cls", "center.cls").alias("a"), F.greatest("cls", "center.cls").alias("b"))
+        likely = staged(both(pairs.union(star).distinct(), sketches, "sketch").mapInArrow(screen, "a long, b long"), "near-likely")
+        wanted = likely.select(F.col("a").alias("cls")).union(likely.select(F.col("b").alias("cls"))).distinct()
+        found = staged(both(likely, whole_sets(wanted), "set").mapInArrow(verify, "a long, b long"), "near-links")
         if root is None:
             root = smallest_reachable(found)
         elif not found.isEmpty():
             root = smallest_reachable(root.toDF("a", "b").union(found))
-        crowd = shared.filter(F.col("size") > pair_limit).select("key", "id").join(root, F.col("id") == root.node, "left").select("key", "id", F.coalesce("root", "id").alias("part"))
+        crowd = shared.filter(F.col("size") > pair_limit).select("key", "cls").join(root, F.col("cls") == root.node, "left").select("key", "cls", F.coalesce("root", "cls").alias("part"))
         mixed = crowd.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-        members = staged(crowd.join(mixed, "key", "left_semi").groupBy("id").agg(F.min("part").alias("part"), F.collect_set("key").alias("keys")), "near-crowds")
+        members = staged(crowd.join(mixed, "key", "left_semi").groupBy("cls").agg(F.min("part").alias("part"), F.collect_set("key").alias("keys")), "near-crowds")
         if members.isEmpty():
             break
         level += 1
-        cut = members.join(sketches, "id").select("id", "part", "keys", "sketch").mapInArrow(split(level), f"id {kind}, part {kind}, keys array<long>")
-        keyed = staged(cut, "near-splits").select("id", "part", F.explode("keys").alias("key"))
-    grouped = classes.join(root, classes["head"] == root.node, "left").select("cls", F.coalesce("root", "head").alias("group"))
-    return rows.select("id", "cls").join(grouped, "cls").filter("id != group").select("id", "group")
+        cut = members.join(sketches, "cls").select("cls", "part", "keys", "sketch").mapInArrow(split(level), "cls long, part long, keys array<long>")
+        keyed = staged(cut, "near-splits").select("cls", "part", F.explode("keys").alias("key"))
+    grouped = staged(classes.join(root, classes["cls"] == root.node, "left").select("cls", "head", F.coalesce("root", "cls").alias("root")), "near-grouped")
+    least_ids = grouped.groupBy("root").agg(F.min("head").alias("group"))
+    return rows.select("id", "cls").join(grouped.join(least_ids, "root").select("cls", "group"), "cls").filter("id != group").select("id", "group")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -364,6 +364,18 @@ def test_near_copies_in_crowds(spark):
     assert [got.get(i, i) for i in range(len(texts))] == group
 
 
+def test_near_copies_at_the_bound(spark):
+    """Texts of over 1000 words: 1200 of 1500 shingles is near enough, 1199 of 1500 isn't."""
+    rnd = random.Random(11)
+    rows, want = [], set()
+    for k in range(24):
+        own = [f"w{rnd.getrandbits(60)}" for _ in range(1504)]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(own[: 1204 - k % 2]))]
+        want |= set() if k % 2 else {2 * k + 1}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.id for r in simhash.near_groups(df).collect()} == want
+
+
 def test_arrow_stream(spark, sf, ids):
     at = 0
     for r in QUERIES["op9_arrow_stream"](spark, sf).orderBy("doc_id").collect():

@@ -26,7 +26,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.common import drop_models, drop_staged, ids_and_texts, slices, sql_type, staged, utf8
@@ -127,6 +127,9 @@ def components(df: DataFrame, words: int = 3, distance: int = 2, blocks: int = 5
 # --- near-duplicate groups by shingle similarity ---------------------------------------------------
 
 
+TINY = 1e-9  # least shares times counts may be off by less
+
+
 def majority(h: np.ndarray) -> int:
     """SimHash of a few hashes, as signed 64 bits."""
     if len(h) == 3:
@@ -186,35 +189,55 @@ def exact_similarity(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def split_keys(low: bytes, keys: list[int], level: int, copies: int) -> list[int]:
-    """Each key split by the two smallest of a few hashes of the sketch, in ``copies`` independent ways.
+def prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """(cls, n, at, key): the first of each class's shingles, those in fewest classes first; at: the place.
 
-    Sketches under one key agree on a split with probability similarity ** 2.
+    Sets of similarity ``least`` have a shingle in common among them: of n, no more than
+    n - least * n can be missing from the other.
     """
-    from xxhash import xxh64_intdigest
 
-    h = np.frombuffer(low, "<u4").astype(np.uint64)
-    out = []
-    for key in keys:
-        for copy in range(copies):
-            seed = xxh64_intdigest(f"{key},{level},{copy}", 42)
-            least = [mix(h, seed).min(), mix(h, seed + 1).min()]
-            got = xxh64_intdigest(np.array(least, "<u8").tobytes(), seed)
-            out.append(got - (1 << 64) if got >> 63 else got)
-    return out
+    def run(batches):
+        for b in slices(batches):
+            h = [np.frombuffer(x.as_buffer(), "<i8") for x in b.column(1)]
+            n = np.array([len(x) for x in h], np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(h))], names=["cls", "n", "key"])
+
+    shingles = sets.select("cls", "set").mapInArrow(run, "cls long, n int, key long")
+    common = shingles.groupBy("key").agg(F.count("*").alias("classes"))
+    place = F.row_number().over(Window.partitionBy("cls").orderBy("classes", "key")) - 1
+    first = shingles.join(common, "key").withColumn("at", place).filter(F.col("n") - F.col("at") >= least * F.col("n") - TINY)
+    return first.filter("classes > 1").select("cls", "n", "at", "key")
 
 
-def near_groups(df: DataFrame, words: int = 5, least: float = 0.8, blocks: int = 12, sample: int = 3, sketch: int = 192, pair_limit: int = 24, copies: int = 3, slack: float = 0.25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def possible_pairs(keyed: DataFrame, least: float) -> DataFrame:
+    """Pairs (a < b) of different parts under a key that can be ``least`` alike.
+
+    Sets of m and n shingles have least / (1 + least) * (m + n) in common, and none of those
+    before their first key in common.  So the smaller one has that key near its front: only
+    such rows start pairs.  Rows of one key are dealt over tasks.
+    """
+    share = least / (1 + least)
+    front = F.col("n") - F.col("at") >= 2 * share * F.col("n") - TINY
+    deal = F.ceil(F.col("size") / 256).cast("int")
+    one = keyed.filter(front).select("key", F.pmod(F.xxhash64("cls"), deal).cast("int").alias("salt"), *(F.col(c).alias(f"{c}_1") for c in ("cls", "part", "n", "at")))
+    two = keyed.select("key", F.explode(F.sequence(F.lit(0), deal - 1)).alias("salt"), *(F.col(c).alias(f"{c}_2") for c in ("cls", "part", "n", "at")))
+    joined = one.join(two, ["key", "salt"]).filter("part_1 <> part_2 AND (n_1 < n_2 OR n_1 = n_2 AND cls_1 < cls_2)")
+    joined = joined.filter(F.least(F.expr("n_1 - at_1"), F.expr("n_2 - at_2")) >= share * F.expr("n_1 + n_2") - TINY)
+    return joined.select(F.least("cls_1", "cls_2").alias("a"), F.greatest("cls_1", "cls_2").alias("b"))
+
+
+def near_groups(df: DataFrame, words: int = 5, least: float = 0.8, blocks: int = 12, sample: int = 3, sketch: int = 192, pair_limit: int = 24, stars: int = 2, slack: float = 0.25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, group) for rows that aren't the smallest id of their group of near copies.
 
     Candidates share a block.  Those whose sketches are less than ``least - slack`` alike are
     left out (a pair of similarity 0.8 is with probability 1e-14); the others are verified on
-    their whole shingle sets.  A block with more than ``pair_limit``
-    classes (a crowd) emits no pairs: each class is compared with one of them, the centre.
-    A crowd whose classes then are all in one group is done.  Any other is split by more
-    hashes of its sketches, first in ``copies`` ways, each part anew with pairs or a
-    centre of its own, until no crowd holds two groups: classes are compared or told
-    apart by their shingles, never dropped.
+    their whole shingle sets.
+
+    A block with more than ``pair_limit`` classes (a crowd) emits no pairs: each class is
+    compared with one of them, the centre.  The classes of crowds that then hold more
+    than one group are joined once more, exactly: on the rarest of their shingles (see
+    prefixes).  A shingle's crowd has other centres first, ``stars`` times, to bring
+    copies together; then all its pairs of different groups that can be near are compared.
     """
     kind = sql_type(df, id_col)
     texts = ids_and_texts(df, id_col, text_col).filter("id is not null")
@@ -242,14 +265,6 @@ def near_groups(df: DataFrame, words: int = 5, least: float = 0.8, blocks: int =
     screen = kept(lambda x, y: similarity(x.as_buffer(), y.as_buffer(), sketch) >= least - slack)
     verify = kept(lambda x, y: exact_similarity(x.as_buffer(), y.as_buffer()) >= least)
 
-    def split(level):
-        def run(batches):
-            for b in slices(batches):
-                keys = [split_keys(low, old, level, copies if level == 1 else 1) for low, old in zip(b.column(3).to_pylist(), b.column(2).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["cls", "part", "keys"])
-
-        return run
-
     def whole_sets(wanted):
         """(cls, set) of the wanted classes, from the texts of their heads."""
         ids = classes.join(wanted, "cls", "left_semi").select(F.col("head").alias("id"))
@@ -264,30 +279,32 @@ def near_groups(df: DataFrame, words: int = 5, least: float = 0.8, blocks: int =
     heads = staged(rows.join(classes, (rows.cls == classes["cls"]) & (rows.id == classes["head"]), "left_semi").dropDuplicates(["cls"]), "near-heads")
     sketches = heads.select("cls", "sketch")
     # part: the group known so far; two of one part needn't be compared
-    keyed = heads.select("cls", F.col("cls").alias("part"), F.posexplode("blocks").alias("k", "bits")).select("cls", "part", F.xxhash64("k", "bits").alias("key"))
-    root, level = None, 0
+    keyed = heads.select("cls", F.col("cls").alias("part"), "n", F.lit(0).alias("at"), F.posexplode("blocks").alias("k", "bits")).select("cls", "part", "n", "at", F.xxhash64("k", "bits").alias("key"))
+    root, sets, level = None, None, 0
     while True:
+        crowded = F.col("size") > pair_limit if level <= stars else F.lit(False)
         center = F.min_by(F.struct("cls", "part"), F.struct(F.xxhash64("cls", F.lit(level)), "cls")) if level else F.min(F.struct("cls", "part"))
         sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), center.alias("center"), F.min("part").alias("lo"), F.max("part").alias("hi"))
         shared = staged(keyed.join(sizes.filter("lo < hi").select("key", "size", "center"), "key"), "near-keys")
-        few = shared.filter(F.col("size") <= pair_limit)
-        pairs = few.select("key", F.col("cls").alias("a"), F.col("part").alias("pa")).join(few.select("key", F.col("cls").alias("b"), F.col("part").alias("pb")), "key").filter("a < b AND pa <> pb").select("a", "b")
-        star = shared.filter((F.col("size") > pair_limit) & (F.col("part") != F.col("center.part"))).select(F.least("cls", "center.cls").alias("a"), F.greatest("cls", "center.cls").alias("b"))
+        pairs = possible_pairs(shared.filter(~crowded), least)
+        star = shared.filter(crowded & (F.col("part") != F.col("center.part"))).select(F.least("cls", "center.cls").alias("a"), F.greatest("cls", "center.cls").alias("b"))
         likely = staged(both(pairs.union(star).distinct(), sketches, "sketch").mapInArrow(screen, "a long, b long"), "near-likely")
         wanted = likely.select(F.col("a").alias("cls")).union(likely.select(F.col("b").alias("cls"))).distinct()
-        found = staged(both(likely, whole_sets(wanted), "set").mapInArrow(verify, "a long, b long"), "near-links")
+        found = staged(both(likely, whole_sets(wanted) if sets is None else sets, "set").mapInArrow(verify, "a long, b long"), "near-links")
         if root is None:
             root = smallest_reachable(found)
         elif not found.isEmpty():
             root = smallest_reachable(root.toDF("a", "b").union(found))
-        crowd = shared.filter(F.col("size") > pair_limit).select("key", "cls").join(root, F.col("cls") == root.node, "left").select("key", "cls", F.coalesce("root", "cls").alias("part"))
-        mixed = crowd.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-        members = staged(crowd.join(mixed, "key", "left_semi").groupBy("cls").agg(F.min("part").alias("part"), F.collect_set("key").alias("keys")), "near-crowds")
-        if members.isEmpty():
+        now = shared.filter(crowded).drop("part", "size", "center").join(root, F.col("cls") == root.node, "left").select("key", "cls", "n", "at", F.coalesce("root", "cls").alias("part"))
+        mixed = now.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
+        keyed = staged(now.join(mixed, "key", "left_semi"), "near-crowds")
+        if keyed.isEmpty():
             break
         level += 1
-        cut = members.join(sketches, "cls").select("cls", "part", "keys", "sketch").mapInArrow(split(level), "cls long, part long, keys array<long>")
-        keyed = staged(cut, "near-splits").select("cls", "part", F.explode("keys").alias("key"))
+        if level == 1:
+            members = staged(keyed.groupBy("cls").agg(F.min("part").alias("part")), "near-members")
+            sets = whole_sets(members.select("cls"))
+            keyed = staged(prefixes(sets, least).join(members, "cls"), "near-prefixes")
     grouped = staged(classes.join(root, classes["cls"] == root.node, "left").select("cls", "head", F.coalesce("root", "cls").alias("root")), "near-grouped")
     least_ids = grouped.groupBy("root").agg(F.min("head").alias("group"))
     return rows.select("id", "cls").join(grouped.join(least_ids, "root").select("cls", "group"), "cls").filter("id != group").select("id", "group")

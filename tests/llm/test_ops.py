@@ -376,6 +376,21 @@ def test_near_copies_at_the_bound(spark):
     assert {r.id for r in simhash.near_groups(df).collect()} == want
 
 
+def test_pairs_of_a_crowd(spark):
+    """150 pairs of similarity 0.8, 0.76 like all others, almost all blocks crowds: no pair is lost."""
+    rnd = random.Random(12)
+    word = lambda: f"w{rnd.getrandbits(60)}"
+    passage, texts = [word() for _ in range(160)], []
+    for _ in range(150):
+        shared = passage + [word() for _ in range(4)]
+        texts += [shared + [word() for _ in range(20)], shared + [word() for _ in range(20)]]
+    order = list(range(300))
+    rnd.shuffle(order)
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in zip(order, texts, strict=True)], "doc_id long, text string")
+    got = {r.id: r.group for r in simhash.near_groups(df, pair_limit=2).collect()}
+    assert got == {max(p): min(p) for p in zip(order[::2], order[1::2], strict=True)}
+
+
 def test_arrow_stream(spark, sf, ids):
     at = 0
     for r in QUERIES["op9_arrow_stream"](spark, sf).orderBy("doc_id").collect():

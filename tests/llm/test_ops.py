@@ -391,6 +391,18 @@ def test_pairs_of_a_crowd(spark):
     assert got == {max(p): min(p) for p in zip(order[::2], order[1::2], strict=True)}
 
 
+def test_near_copies_under_repeated_ids(spark):
+    """One id, two texts: each is the head of its class and each has copies of its own."""
+    rnd = random.Random(13)
+    rows = []
+    for k in range(8):
+        for own in (3, 4):
+            text = [f"w{rnd.getrandbits(60)}" for _ in range(100)]
+            rows += [(10 * k, " ".join(text)), (10 * k + own, " ".join([*text, "end"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.id, r.group) for r in simhash.near_groups(df).collect()) == [(10 * k + own, 10 * k) for k in range(8) for own in (3, 4)]
+
+
 def test_arrow_stream(spark, sf, ids):
     at = 0
     for r in QUERIES["op9_arrow_stream"](spark, sf).orderBy("doc_id").collect():

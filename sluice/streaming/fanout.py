@@ -66,8 +66,11 @@ def broadcast(events: DataFrame, table: Table, subscribers: list[Subscriber]) ->
             plans.setdefault(same, (s.grant, []))[1].append(s)
         for grant, group in plans.values():
             most = max(min(s.size, 10_000) for s in group) + 1  # no queue takes more
-            got = frames(decoded, table, grant).limit(most).collect()
+            shown = frames(decoded, table, grant)
+            got = shown.limit(most).collect()
+            beyond = shown.count() - most if len(got) == most else 0
             for s in group:
+                s.dropped += beyond
                 for frame in got:
                     s.offer(frame)
     finally:

@@ -222,3 +222,11 @@ def test_keyset_pages():
     q = ast.decode({"columns": "a", "order_by": [{"column": "a", "dir": "DESC"}], "limit": 5})
     assert ast.has_more(q, 5) and not ast.has_more(q, 4)
     assert ast.next_page(q, {"a": 3}).filters[-1] == ast.Filter("a", "lt", 3) and ast.next_page(ast.decode({"columns": "a"}), {}) is None
+
+
+def test_dropped_frames_are_all_counted(spark):
+    t, grant = event_table(spark, SF), policy.grant(POLICY, "events", "narrow", "select", {})
+    total = fanout.frames(eventlog.decode(log(spark, SF), t), t, grant).count()
+    s = [fanout.Subscriber(grant, size=5), fanout.Subscriber(grant, size=9)]
+    fanout.broadcast(log(spark, SF), t, s)
+    assert total > 100 and [len(x.queue) + x.dropped for x in s] == [total] * 2

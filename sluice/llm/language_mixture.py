@@ -7,8 +7,9 @@ whatever the corpus.
 
 A document's n-grams are drawn from a mixture of languages.  Expectation-maximisation
 gives the proportions; the language set is the one with the best likelihood less a
-penalty for each language (nested sets by proportion); the prediction is the largest
-share in that set, and the score its share in the full mixture.
+penalty for each language (nested sets by proportion), refitted on that set alone; the
+prediction is the largest share, and the score its share in the full mixture.  A row is
+kept for its set: the share of the full mixture that the set's languages have together.
 
 Null texts and texts without a letter are ``und`` with score 0; so is everything if
 nothing was learned.  Rows with a null language or null id are not learned from.  Every
@@ -82,18 +83,28 @@ class Model:
             best, chosen = value, own
         return chosen.tolist(), w
 
-    def predict(self, texts: list) -> tuple[list[str], list[float]]:
-        names, scores = [], []
+    def sets(self, texts: list) -> list[tuple[list[int], np.ndarray, np.ndarray]]:
+        """For each text the chosen set, the proportions refitted on it, and the shares of the full mixture; empty sets for ``und``."""
+        out = []
         flat, bounds = ngrams([t or "" for t in texts])
         for i, t in enumerate(texts):
             if not self.languages or not letters(t):
-                names.append("und")
-                scores.append(0.0)
+                out.append(([], np.zeros(0), np.zeros(len(self.languages))))
                 continue
-            chosen, w = self.proportions(flat[bounds[i] : bounds[i + 1]])
-            names.append(self.languages[chosen[0]])
-            scores.append(float(min(1.0, max(0.0, w[chosen[0]]))))
-        return names, scores
+            features = flat[bounds[i] : bounds[i + 1]]
+            chosen, w = self.proportions(features)
+            own = w[chosen] / max(w[chosen].sum(), 1e-9)
+            if 1 < len(chosen) < len(w):
+                own = self.mix(self.p[features][:, chosen], own.astype(np.float32), STEPS)[0]
+            out.append((chosen, own, w))
+        return out
+
+    def named(self, chosen: list[int], w: np.ndarray) -> tuple[str, float]:
+        return (self.languages[chosen[0]], float(min(1.0, max(0.0, w[chosen[0]])))) if chosen else ("und", 0.0)
+
+    def predict(self, texts: list) -> tuple[list[str], list[float]]:
+        got = [self.named(chosen, w) for chosen, _, w in self.sets(texts)]
+        return [n for n, _ in got], [x for _, x in got]
 
 
 def train(df: DataFrame, train_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -126,27 +137,30 @@ def train(df: DataFrame, train_rows: int = 20_000, id_col: str = "doc_id", text_
 
 
 def detect(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score)."""
+    """(id, lang_pred, score, languages: the chosen set, proportions: refitted on it)."""
 
     def run(batches):
         for b in slices(batches, 2 << 20):
-            names, scores = model.predict(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
+            got = model.sets(b.column(1).to_pylist())
+            names, scores = zip(*(model.named(chosen, w) for chosen, _, w in got), strict=True)
+            sets = [[model.languages[k] for k in chosen] for chosen, _, _ in got]
+            own = [shares.tolist() for _, shares, _ in got]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(own, pa.list_(pa.float64()))], names=["id", "lang_pred", "score", "languages", "proportions"])
 
     small_batches(df.sparkSession)
-    return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {sql_type(df, id_col)}, lang_pred string, score double")
+    return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {sql_type(df, id_col)}, lang_pred string, score double, languages array<string>, proportions array<double>")
 
 
 def keep_identified(df: DataFrame, model: Model, least: float = 0.4, text_col: str = "text") -> DataFrame:
-    """The rows whose language is identified with at least that share, with all their columns."""
+    """The rows whose language set has at least that share of the mixture, with all their columns."""
     at = df.columns.index(text_col)
     small_batches(df.sparkSession)
 
     def run(batches):
         drop_models()
         for b in slices(batches, 2 << 20):
-            names, scores = model.predict(b.column(at).to_pylist())
-            yield b.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+            got = model.sets(b.column(at).to_pylist())
+            yield b.filter(pa.array([bool(chosen) and float(w[chosen].sum()) >= least for chosen, _, w in got], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

@@ -154,6 +154,18 @@ def test_language_mixture(spark):
     assert model.predict([None, "", "12 -- !", "\n"]) == (["und"] * 4, [0.0] * 4)
 
 
+def test_rows_are_kept_for_their_language_set(spark):
+    """Three languages in even parts: none has a share of 0.4, the set has nearly all."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_mixture.train(df)
+    parts = [df.filter(F.col("lang") == k).orderBy("doc_id").first().text[:400] for k in ("de", "en", "fr")]
+    mixed = spark.createDataFrame([(1, " ".join(parts)), (2, "12 -- !"), (3, parts[0])], "doc_id long, text string")
+    got = {r.id: r for r in language_mixture.detect(mixed, model).collect()}
+    assert set(got[1].languages) == {"de", "en", "fr"} and all(0.25 < x < 0.4 for x in got[1].proportions) and got[1].score < 0.4
+    assert got[2].languages == got[2].proportions == [] and got[3].languages == ["de"]
+    assert [r.doc_id for r in language_mixture.keep_identified(mixed, model).orderBy("doc_id").collect()] == [1, 3]
+
+
 def test_flac(spark, sf, docs):
     by_text = defaultdict(set)
     for r in QUERIES["op4_flac"](spark, sf).collect():

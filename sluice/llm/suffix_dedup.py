@@ -17,7 +17,9 @@ sorted; most need not be:
    prefix of LENGTH bytes are one window; the smallest id among them decides.
 
 A copy, passage or line in any number of documents is one entry for each batch and
-context, so no task sees more of it than there are batches; nothing is capped.
+context; nothing is capped.  Inside it, that is one for each batch.  At its edges contexts
+reach into each document's own text and differ, so the task of an anchor there gets about
+one for each document; an anchor isn't split over tasks.
 
 Null texts count as empty.  Ids must be integers; null ids count as larger than all
 others; rows with equal ids don't remove from each other.  Texts under LENGTH bytes

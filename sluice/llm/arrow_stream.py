@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import fresh_path, ids_and_texts, slices, sql_type, staged, tokenizer_path
+from sluice.llm.common import fresh_path, ids_and_texts, slices, sql_type, staged, task, tokenizer_path
 from sluice.llm.library_ids import library_ids
 
 
@@ -83,6 +83,7 @@ def write_streams(df: DataFrame, path: str, folder: str, length: int = 2048, row
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    @task
     def write(batches):
         from pyspark import TaskContext
 
@@ -115,6 +116,7 @@ def write_streams(df: DataFrame, path: str, folder: str, length: int = 2048, row
 def read_documents(manifest: DataFrame, folder: str, id_type: str, id_col: str = "doc_id") -> DataFrame:
     """From the files: id, start over all files, n_tokens, ids_crc32 (of little-endian unsigned 32-bit ids)."""
 
+    @task
     def read(batches):
         filesys, base = filesystem(folder)
         for row in (r for b in batches for r in b.to_pylist()):

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import ctypes
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,10 +20,12 @@ def tokenizer_path(name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir.  Where that is unset and Spark runs in one process, a folder of its own."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not got:
-        got = "file://" + os.path.join(tempfile.gettempdir(), "sluice-shared")
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        got = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/sluice-shared"
         spark.sparkContext.setCheckpointDir(got)
     return got.rstrip("/")
 
@@ -41,20 +43,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def drop_staged(df: DataFrame) -> None:
     """Delete the files behind a staged table that no later plan reads."""
-    spark = df.sparkSession
     path = df.inputFiles()
     if path:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path[0]).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path[0]).getParent()
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts can be long: Arrow batches of at most that many rows, unless the session has fewer."""
+    """For applications, not called by operators: texts can be long, so Arrow batches of at most that many rows."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
 
 
+CUT = re.compile(r"\S(?=[ \n])")
 MODELS: list = []
 
 
@@ -72,9 +74,7 @@ def drop_models() -> None:
 
 
 def tidy() -> None:
-    """Give freed memory back at the end of a task: workers live on and hold what their allocators keep."""
-    import ctypes
-
+    """Give freed memory back: workers live on and hold what their allocators keep."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -82,9 +82,35 @@ def tidy() -> None:
         pass
 
 
+def task(run):
+    """``run`` for mapInArrow, with others' models dropped first; at the end its own and its buffers go, so that idle workers hold nothing."""
+
+    def alone(batches):
+        drop_models()
+        try:
+            yield from run(batches)
+        finally:
+            drop_models()
+            tidy()
+
+    return alone
+
+
+def grouped(run):
+    """The same for applyInArrow: memory is given back after each group."""
+
+    def alone(key, table):
+        try:
+            return run(key, table)
+        finally:
+            drop_models()
+            tidy()
+
+    return alone
+
+
 def ids_and_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the two columns, as ``id`` and ``text``; null texts stay null.  Other columns, whatever their names, go."""
-    small_batches(df.sparkSession)
     return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
@@ -94,7 +120,20 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) -> Itera
         rows = max(1, int(b.num_rows * max_bytes / max(b.nbytes, 1)))
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
-    tidy()
+
+
+def pieces(text: str, size: int = 1 << 17) -> Iterator[str]:
+    """A text in pieces of about ``size`` characters, each cut before a blank or line feed that follows another character than these.
+
+    Byte-level BPE never has a pre-token across such a place, so pieces' tokens in a row are
+    the text's.  A run without such a place stays one piece.
+    """
+    at = 0
+    while len(text) - at > size:
+        cut = next((m.start() + 1 for m in CUT.finditer(text, at + size - 1)), len(text))
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
 
 
 def sql_type(df: DataFrame, col: str) -> str:

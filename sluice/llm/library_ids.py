@@ -15,8 +15,9 @@ from operator import itemgetter
 
 import numpy as np
 
-from sluice.llm.common import model
+from sluice.llm.common import model, pieces
 
+LONG = 1 << 20  # characters
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 UNUSUAL = re.compile(rf"[^\t\n\r -~{LETTERS}¡§«­°·»¿–—‘-„…€]")
 SPLIT = re.compile(rf" ?[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+")
@@ -93,7 +94,12 @@ class LibraryIds:
         self.n, self.used = last, upto
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        """One uint32 array for each text; null counts as empty."""
+        """One uint32 array for each text; null counts as empty.  Long texts go piece by piece, which bounds all but their ids."""
+        if any(t and len(t) > LONG for t in texts):
+            return [np.concatenate([self.short([p])[0] for p in pieces(t, LONG)]) if t and len(t) > LONG else self.short([t])[0] for t in texts]
+        return self.short(texts)
+
+    def short(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.known) > self.keep:
             self.forget()
         out: list = [None] * len(texts)

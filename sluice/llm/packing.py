@@ -5,14 +5,17 @@ ids (with the end id) are cut into full sequences; what is left is a remaining
 length.  When ``window`` remainders are held, sequences are filled: the longest
 remainder opens one, and a bitset subset-sum over the held lengths (copies in powers
 of two) finds the multiset that comes closest to the free capacity; going back
-through the bitsets gives how many of each length to take.  A sequence that would
-not fill exactly waits for more rows.  At the end of the task what is held is laid
-end to end, and the last, partial sequence is cut into powers of two, which need no
-padding.  So at most a few short sequences a task are made, and padding is nothing.
+through the bitsets gives how many of each length to take.  What slack is left is
+filled by the beginning of the longest remainder, whose rest stays held.  So every
+sequence is full but those made of the last remainders of a task, which are cut into
+powers of two and need no padding: padding is nothing.  Held are at most window + size
+pieces, each shorter than a sequence.
 
 Null texts count as empty (the end id alone).  Repeated rows are packed as often as
 they occur.  Sequence ids are unique (task number and count), not gapless.  A lost
-task packs the same rows the same way again.
+task packs the same rows the same way again.  An empty table gives none.  A very long
+text is encoded at once, so its ids must fit in a worker; columns other than id and text
+are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sluice.llm.common import ids_and_texts, slices, sql_type, tokenizer_path
+from sluice.llm.common import ids_and_texts, slices, sql_type, task, tokenizer_path
 from sluice.llm.library_ids import library_ids
 
 
@@ -61,7 +64,7 @@ class Packer:
         self.size, self.window, self.sequence = size, window, first_sequence
         self.held: dict[int, deque] = {}
         self.lengths: list[int] = []  # its keys in order
-        self.n_held = 0
+        self.n_held = self.tokens = 0
         self.rows: list[tuple] = []
 
     def put(self, pieces: list[tuple]) -> None:
@@ -79,7 +82,7 @@ class Packer:
         if n > full:
             self.hold((doc, full, bytes(data[full * 4 :]), n))
             if self.n_held >= self.window:
-                self.fill(self.window // 2)
+                self.fill(max(1, self.window // 2))
 
     def hold(self, piece: tuple) -> None:
         length = len(piece[2]) // 4
@@ -88,6 +91,7 @@ class Packer:
             insort(self.lengths, length)
         self.held[length].append(piece)
         self.n_held += 1
+        self.tokens += length
 
     def take(self, length: int) -> tuple:
         queue = self.held[length]
@@ -96,35 +100,34 @@ class Packer:
             del self.held[length]
             del self.lengths[bisect_left(self.lengths, length)]
         self.n_held -= 1
+        self.tokens -= length
         return got
 
     def fill(self, down_to: int) -> None:
-        """Make full sequences until few enough remainders are held, or none fills exactly."""
-        waiting = []
-        while self.n_held > down_to and self.held:
-            opener = self.take(self.lengths[-1])
-            free = self.size - len(opener[2]) // 4
+        """Make sequences until few enough remainders are held; short ones only once nothing else is held."""
+        while self.n_held > down_to and (self.tokens >= self.size or not down_to):
+            pieces = [self.take(self.lengths[-1])]
+            free = self.size - len(pieces[0][2]) // 4
             chosen = closest_multiset(self.held, free, self.lengths)
-            if sum(k * n for k, n in chosen.items()) == free:
-                self.put([opener, *(self.take(k) for k, n in chosen.items() for _ in range(n))])
+            pieces += [self.take(k) for k, n in chosen.items() for _ in range(n)]
+            slack = free - sum(k * n for k, n in chosen.items())
+            if slack and self.held:  # all that are held are longer than the slack, or they would have been chosen
+                doc, start, ids, n = self.take(self.lengths[-1])
+                pieces.append((doc, start, ids[: slack * 4], n))
+                self.hold((doc, start + slack, ids[slack * 4 :], n))
+                slack = 0
+            if slack:
+                self.put_short(pieces)
             else:
-                waiting.append(opener)
-        for x in waiting:
-            self.hold(x)
-        if self.n_held >= self.window:  # lengths that never fill exactly must not pile up
-            self.lay_out(whole_only=True)
-
-    def lay_out(self, whole_only: bool) -> None:
-        """End to end, cut at the sequence size; the rest at powers of two, or held again."""
-        line = [self.take(self.lengths[-1]) for _ in range(self.n_held)]
-        while line:
-            room, pieces = self.size, []
-            if (left := sum(len(x[2]) // 4 for x in line)) < room:
-                if whole_only:
-                    for x in line:
-                        self.hold(x)
-                    return
-                room = 1 << (left.bit_length() - 1)
+                self.put(pieces)
+
+    def put_short(self, line: list[tuple]) -> None:
+        """Pieces that don't fill a sequence, cut at powers of two."""
+        left = sum(len(x[2]) // 4 for x in line)
+        line = line[::-1]
+        while left:
+            room, pieces = 1 << (left.bit_length() - 1), []
+            left -= room
             while room:
                 doc, start, ids, n = line.pop()
                 if len(ids) // 4 > room:
@@ -136,7 +139,6 @@ class Packer:
 
     def finish(self) -> None:
         self.fill(0)
-        self.lay_out(whole_only=False)
 
 
 def pack(df: DataFrame, path: str, size: int = 2048, end_id: int = 1, window: int = 4096, keep: int = 600_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,6 +148,7 @@ def pack(df: DataFrame, path: str, size: int = 2048, end_id: int = 1, window: in
     """
     kind = sql_type(df, id_col)
 
+    @task
     def run(batches):
         from pyspark import TaskContext
 

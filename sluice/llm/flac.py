@@ -12,7 +12,10 @@ wrong raises.  Blocks of PCM come with their sample offsets, and a seek table in
 stream has the byte offset of every ``SEEK_FRAMES``-th frame.
 
 Null media and null texts count as empty payloads where the payload is made from a
-text (one block of blanks); repeated rows come back as often.
+text (one block of blanks); repeated rows come back as often; an empty table gives an
+empty one; columns other than id and text (or media) are not read.  Very long texts are
+encoded ``LANES`` frames at a time and decoded in stretches between seek points, so that
+working arrays don't grow with one text.
 """
 
 from __future__ import annotations
@@ -25,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import ids_and_texts, slices, sql_type, utf8
+from sluice.llm.common import ids_and_texts, slices, sql_type, task, utf8
 
 BLOCK = 192  # samples in a frame; block size code 1
 LPC_ORDER, PRECISION, SEEK_FRAMES, RATE = 6, 10, 64, 8000
+LANES = 1 << 13  # frames worked on at once; a multiple of SEEK_FRAMES
 FIXED = {0: [], 1: [1], 2: [2, -1], 3: [3, -3, 1], 4: [4, -6, 4, -1]}
 
 
@@ -192,12 +196,16 @@ def encode_streams(payloads: list[bytes]) -> list[bytes]:
     frames = np.array([len(p) // BLOCK for p in payloads])
     bounds = np.concatenate([[0], frames.cumsum()])
     number = np.arange(bounds[-1]) - np.repeat(bounds[:-1], frames)
-    data, start = encode_frames(raw.reshape(-1, BLOCK).astype(np.int32) - 128, number)
-    blob, out = data.tobytes(), []
+    blob, start = bytearray(), [np.zeros(1, np.int64)]
+    for at in range(0, len(number), LANES):
+        data, places = encode_frames(raw[at * BLOCK : (at + LANES) * BLOCK].reshape(-1, BLOCK).astype(np.int32) - 128, number[at : at + LANES])
+        start.append(places[1:] + len(blob))
+        blob += data.tobytes()
+    start, blob, out = np.concatenate(start), memoryview(blob), []
     for p, a, z in zip(payloads, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         sizes, md5 = np.diff(start[a : z + 1]), hashlib.md5((np.frombuffer(p, np.uint8) ^ 128).tobytes()).digest()
         info = struct.pack(">HH", BLOCK, BLOCK) + int(sizes.min()).to_bytes(3, "big") + int(sizes.max()).to_bytes(3, "big") + (RATE << 44 | 7 << 36 | len(p)).to_bytes(8, "big") + md5
-        points = b"".join(struct.pack(">QQH", k * BLOCK, start[a + k] - start[a], BLOCK) for k in range(0, z - a, SEEK_FRAMES))
+        points = b"".join(struct.pack(">QQH", k * BLOCK, int(start[a + k] - start[a]), BLOCK) for k in range(0, z - a, SEEK_FRAMES))
         out.append(b"fLaC\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(points).to_bytes(3, "big") + points + blob[start[a] : start[z]])
     return out
 
@@ -228,8 +236,8 @@ def read_header(stream: bytes) -> dict:
     return got | {"first": at}
 
 
-def find_frames(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For data with streams' frames at bounds: each frame's stream, start, end, place of its subframe, block size."""
+def find_frames(data: np.ndarray, bounds: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For data with streams' frames at bounds, numbered from base: each frame's stream, start, end, place of its subframe, block size."""
     at = np.flatnonzero((data[:-1] == 0xFF) & (data[1:] == 0xF8))
     at = at[at + 18 <= len(data)]
     lead = data[at + 4]
@@ -247,14 +255,14 @@ def find_frames(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     explicit = np.where(more == 1, data[at + 4 + nb].astype(np.int64), (data[at + 4 + nb].astype(np.int64) << 8) | data[at + 5 + nb]) + 1
     block = np.select([code == 1, (code >= 2) & (code <= 5), code >= 8], [192, 576 << np.clip(code.astype(np.int64) - 2, 0, 3), 256 << np.clip(code.astype(np.int64) - 8, 0, 7)], explicit)
     stream = np.searchsorted(bounds, at, side="right") - 1
-    # frames of a stream are numbered from 0; what only looks like a header is out of step
+    # frames of a stream are numbered in a row; what only looks like a header is out of step
     first = np.searchsorted(stream, np.arange(len(bounds) - 1))
-    if len(at) and (number == np.arange(len(at)) - first[stream]).all():
+    if len(at) and (number == np.arange(len(at)) - first[stream] + base[stream]).all():
         chosen = np.arange(len(at))
     else:
         keep, expected, on = [], 0, -1
         for i, (s, n) in enumerate(zip(stream.tolist(), number.tolist(), strict=True)):
-            expected = 0 if s != on else expected
+            expected = base[s] if s != on else expected
             on = s
             if n == expected:
                 keep.append(i)
@@ -267,7 +275,7 @@ def find_frames(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     if bad:  # a false header in step: step through these streams by checksum
         picked = [i for i in chosen.tolist() if stream[i] not in bad]
         for s in sorted(bad):
-            own, where, expected = np.flatnonzero(stream == s).tolist(), int(bounds[s]), 0
+            own, where, expected = np.flatnonzero(stream == s).tolist(), int(bounds[s]), int(base[s])
             by_place = {int(at[i]): i for i in own}
             while where < bounds[s + 1]:
                 ends = [int(at[i]) for i in own if at[i] > where and number[i] == expected + 1] + [int(bounds[s + 1])]
@@ -401,12 +409,36 @@ def decode_group(data: np.ndarray, place: np.ndarray, n: int, kind: int) -> np.n
 
 def decode_streams(streams: list[bytes], verify: bool = True) -> list[np.ndarray]:
     """Samples (int8) of each stream."""
-    if not streams:
-        return []
     heads = [read_header(s) for s in streams]
-    data = np.frombuffer(b"".join(s[h["first"] :] for s, h in zip(streams, heads, strict=True)), np.uint8)
-    bounds = np.cumsum([0, *(len(s) - h["first"] for s, h in zip(streams, heads, strict=True))])
-    stream, _, _, place, block = find_frames(np.concatenate([data, np.zeros(20, np.uint8)]), bounds)
+    parts = [(i, s[h["first"] + a : h["first"] + z], n) for i, (s, h) in enumerate(zip(streams, heads, strict=True)) for a, z, n in segments(len(s) - h["first"], h)]
+    got: list[list[np.ndarray]] = [[] for _ in streams]
+    while parts:
+        size, k = 0, 0
+        while k < len(parts) and (not k or size + len(parts[k][1]) <= LANES * BLOCK):
+            size, k = size + len(parts[k][1]), k + 1
+        for (i, _, _), x in zip(parts[:k], decode_segments([p[1] for p in parts[:k]], [p[2] for p in parts[:k]]), strict=True):
+            got[i].append(x)
+        parts = parts[k:]
+    got = [np.concatenate(x) if x else np.zeros(0, np.int8) for x in got]
+    for x, h in zip(got, heads, strict=True):
+        if verify and (len(x) != h["samples"] or hashlib.md5(x.tobytes()).digest() != h["md5"]):
+            raise ValueError("stream checksum")
+    return got
+
+
+def segments(size: int, head: dict) -> list[tuple[int, int, int]]:
+    """A stream's frames in stretches between seek points: first byte, end, number of the first frame; one, if it is short or has no points."""
+    cuts = [(byte, sample // head["block"]) for sample, byte in head["seek"] if head["block"] and sample % (LANES // 2 * head["block"]) == 0]
+    if not cuts or cuts[0] != (0, 0):
+        cuts = [(0, 0)]
+    return [(a, z, n) for (a, n), z in zip(cuts, [*(c[0] for c in cuts[1:]), size], strict=True)]
+
+
+def decode_segments(found: list[bytes], base: list[int]) -> list[np.ndarray]:
+    """Samples of stretches of frames, each numbered from its base."""
+    data = np.frombuffer(b"".join(found), np.uint8)
+    bounds = np.cumsum([0, *map(len, found)])
+    stream, _, _, place, block = find_frames(np.concatenate([data, np.zeros(20, np.uint8)]), bounds, np.array(base, np.int64))
     offset = np.concatenate([[0], block.cumsum()])
     out, kinds = np.zeros(offset[-1], np.int8), data[place]
     for n in np.unique(block).tolist():
@@ -414,12 +446,8 @@ def decode_streams(streams: list[bytes], verify: bool = True) -> list[np.ndarray
             own = np.flatnonzero((block == n) & (kinds == kind))
             x = decode_group(data, place[own] + 1, n, kind)
             out[offset[own][:, None] + np.arange(n)] = x.T
-    ends = np.bincount(stream, weights=block, minlength=len(streams)).astype(np.int64).cumsum()
-    got = [out[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-    for x, h in zip(got, heads, strict=True):
-        if verify and (len(x) != h["samples"] or hashlib.md5(x.tobytes()).digest() != h["md5"]):
-            raise ValueError("stream checksum")
-    return got
+    ends = np.bincount(stream, weights=block, minlength=len(found)).astype(np.int64).cumsum()
+    return [out[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 def padded(data: bytes) -> bytes:
@@ -429,6 +457,7 @@ def padded(data: bytes) -> bytes:
 def flac_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media): the text's UTF-8 bytes, padded with blanks to whole blocks, as a stream."""
 
+    @task
     def run(batches):
         for b in slices(batches, 1 << 20):
             raw = utf8(b.column(1).to_pylist())
@@ -440,6 +469,7 @@ def flac_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def flac_blocks(df: DataFrame, id_col: str = "id", media_col: str = "media", block_samples: int = 4096) -> DataFrame:
     """PCM in blocks: (id, sample_offset, n_samples, pcm binary, signed 8-bit).  Null media give no rows."""
 
+    @task
     def run(batches):
         for b in slices(batches, 1 << 20):
             for i, x in zip(b.column(0).to_pylist(), decode_streams(b.column(1).to_pylist()), strict=True):
@@ -481,15 +511,20 @@ def _finds(data: bytes, what: bytes):
 
 def features(x: np.ndarray) -> str:
     """Loudness, level, peak and zero crossings of the samples, from exact integer sums."""
-    y = x.astype(np.int64)
-    crossings = int(((y[1:] < 0) != (y[:-1] < 0)).sum())
-    return f"rms={np.sqrt((y * y).sum() / len(y)):.6f};mean={y.sum() / len(y):.6f};peak={int(np.abs(y).max())};crossings={crossings}"
+    square = total = peak = crossings = 0
+    for at in range(0, len(x), 1 << 20):
+        y = x[max(at - 1, 0) : at + (1 << 20)].astype(np.int64)
+        crossings += int(((y[1:] < 0) != (y[:-1] < 0)).sum())
+        y = y[1 if at else 0 :]
+        square, total, peak = square + int((y * y).sum()), total + int(y.sum()), max(peak, int(np.abs(y).max()))
+    return f"rms={np.sqrt(square / len(x)):.6f};mean={total / len(x):.6f};peak={peak};crossings={crossings}"
 
 
 def media_digests(encoded: DataFrame) -> DataFrame:
     """What flac_encode made, read back: the digest columns of the query."""
     import zlib
 
+    @task
     def run(batches):
         for b in slices(batches, 1 << 20):
             media, rows = b.column(2).to_pylist(), []

@@ -23,13 +23,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import ids_and_texts, slices, sql_type, staged
+from sluice.llm.common import ids_and_texts, slices, sql_type, staged, task
 
 BUCKETS, BOUND = 256, 400
 TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 2, 4), (0, 1, 4), (0, 3, 4))
 
 
-def bucket_counts(texts: list[bytes]) -> np.ndarray:
+def bucket_counts(texts: list[bytes], piece: int = 1 << 20) -> np.ndarray:
+    """(texts, BUCKETS); long texts are counted in pieces that overlap by the window less one."""
+    if any(len(t) > piece + 4 for t in texts):
+        counts = np.zeros((len(texts), BUCKETS), np.int64)
+        for own, t in zip(counts, texts, strict=True):
+            for at in range(0, max(len(t) - 4, 1), piece):
+                own += bucket_counts([t[at : at + piece + 4]], piece)[0]
+        return counts
     texts = [t if len(t) >= 5 else t.ljust(5, b"\0") for t in texts]
     raw = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint32)
     sizes = np.array([len(t) for t in texts])
@@ -83,6 +90,7 @@ def compare(a: str, b: str) -> float:
 def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint hex)."""
 
+    @task
     def run(batches):
         for b in slices(batches, 2 << 20):
             d = digests([(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()])
@@ -113,6 +121,7 @@ def edited_likeness(df: DataFrame, parts: int | None = None, id_col: str = "doc_
     spark, kind = df.sparkSession, sql_type(df, id_col)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    @task
     def run(batches):
         from pyspark import TaskContext
 
@@ -136,6 +145,7 @@ def edited_likeness(df: DataFrame, parts: int | None = None, id_col: str = "doc_
         if held:
             yield rows(2, held[0], held[1], None)
 
+    @task
     def meet(batches):
         for b in slices(batches, 2 << 20):
             texts, following = ([t or "" for t in b.column(k).to_pylist()] for k in (1, 2))

@@ -7,7 +7,9 @@ most three bytes of an unfinished character; ids whose bytes are whole character
 need no steps.
 
 Null texts count as empty.  Repeated rows and ids come back as often as they went
-in; columns other than id and text are not read.
+in; columns other than id and text are not read; an empty table gives an empty one.
+Very long texts are encoded and decoded piece by piece (cut where no pre-token can lie
+across), between which the bound on transitions holds.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import bpe_fst
-from sluice.llm.common import ids_and_texts, model, slices, sql_type, tokenizer_path
+from sluice.llm.common import ids_and_texts, model, pieces, slices, sql_type, tokenizer_path
 
 
 class Utf8Machine:
@@ -85,7 +87,7 @@ class Codec:
         return True
 
     def encode(self, text: str | None) -> np.ndarray:
-        return np.array(bpe_fst.encode(self.machine, text) if text else [], "<u4")
+        return np.concatenate([np.array(bpe_fst.encode(self.machine, p) if p else [], "<u4") for p in pieces(text or "")])
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         sizes = self.length[ids]
@@ -150,9 +152,13 @@ def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_co
         for b in slices(batches):
             rows = []
             for t in b.column(1).to_pylist():
-                ids = c.encode(t)
-                text = c.decode_text(ids.astype(np.int64))
-                rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode("utf-8")).hexdigest()))
+                n, ids_sum, text_sum = 0, hashlib.sha256(), hashlib.sha256()
+                for p in pieces(t or ""):  # whole characters, so each piece decodes by itself
+                    ids = c.encode(p)
+                    n += len(ids)
+                    ids_sum.update(ids.tobytes())
+                    text_sum.update(c.decode_text(ids.astype(np.int64)).encode("utf-8"))
+                rows.append((n, ids_sum.hexdigest(), text_sum.hexdigest()))
             n, a, d = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 

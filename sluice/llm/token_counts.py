@@ -9,7 +9,9 @@ after a non-blank resets the transducer whatever came before, so a chunk is a he
 count and exit state.
 
 Null texts count as empty: 0 bytes, 0 tokens.  Repeated rows and ids come back as
-often as they went in; columns other than id and text are not read.
+often as they went in; columns other than id and text are not read; an empty table
+gives an empty one.  Very long texts are counted piece by piece (cut where no pre-token
+can lie across), between which the bound on transitions holds.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sluice.llm import bpe_fst
-from sluice.llm.common import ids_and_texts, model, slices, sql_type, tokenizer_path, utf8
+from sluice.llm.common import ids_and_texts, model, pieces, slices, sql_type, tokenizer_path, utf8
 
 
 class Counter:
@@ -62,6 +64,12 @@ class Counter:
         state, n = self.apply(b, a[1][1])
         return a[0], (a[1][0] + n, state)
 
+    def reduce(self, maps: list):
+        """The scan's last map alone: the up-sweep."""
+        while len(maps) > 1:
+            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0]
+
     def scan(self, maps: list) -> list:
         """Inclusive prefix scan in pairs: log2(len) rounds, each of independent compositions."""
         if len(maps) == 1:
@@ -71,13 +79,16 @@ class Counter:
         return [maps[0] if i == 0 else up[i // 2] if i % 2 else self.compose(up[i // 2 - 1], maps[i]) for i in range(len(maps))]
 
     def count_ordinary(self, text: str) -> int:
-        root = self.machine.start()
-        if len(text) <= self.chunk:
-            state, n = self.run(root, text)
-        else:
-            maps = [self.chunk_map(text[i : i + self.chunk]) for i in range(0, len(text), self.chunk)]
-            state, n = self.apply(self.scan(maps)[-1], root)
-        return n + state.final
+        """Pieces are independent, and between them the machine may forget its transitions; chunks of a piece compose."""
+        total = 0
+        for piece in pieces(text):
+            root = self.machine.start()
+            if len(piece) <= self.chunk:
+                state, n = self.run(root, piece)
+            else:
+                state, n = self.apply(self.reduce([self.chunk_map(piece[i : i + self.chunk]) for i in range(0, len(piece), self.chunk)]), root)
+            total += n + state.final
+        return total
 
     def __call__(self, text: str | None) -> int:
         if not text:

@@ -13,7 +13,10 @@ kept for its set: the share of the full mixture that the set's languages have to
 
 Null texts and texts without a letter are ``und`` with score 0; so is everything if
 nothing was learned.  Rows with a null language or null id are not learned from.  Every
-row is predicted by itself; ties between languages go to the first by name.
+row is predicted by itself; ties between languages go to the first by name.  An empty
+table gives an empty one.  Very long texts are counted piece by piece into the features,
+so memory is bounded but for the text itself.  Only the columns named by parameters are
+read; keep_identified returns all columns as they are.
 """
 
 from __future__ import annotations
@@ -23,27 +26,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import drop_models, slices, small_batches, sql_type
+from sluice.llm.common import slices, sql_type, task
 
-FEATURES = 1 << 16
+FEATURES, LONG = 1 << 16, 1 << 18  # and characters from which a text's features are counted
 STEPS, PENALTY = 8, 4.0
 
 
+def hashed(b: np.ndarray) -> np.ndarray:
+    """(places, 2): the features that begin at each place with four bytes left."""
+    three = b[:-3] | b[1:-2] << np.uint32(8) | b[2:-1] << np.uint32(16)
+    four = three | b[3:] << np.uint32(24)
+    h3, h4 = three * np.uint32(0x9E3779B1), (four ^ np.uint32(0x5BD1E995)) * np.uint32(0x85EBCA6B)
+    return (np.stack([h3, h4], axis=1) >> np.uint32(16)).astype(np.int32)
+
+
 def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of all texts in a row, and where each text's begin (and the end)."""
     raw = [b" " + t.lower().encode("utf-8", "surrogatepass") + b"  " for t in texts]
     b = np.frombuffer(b"".join(raw) + b"   ", np.uint8).astype(np.uint32)
-    three = b[:-3] | b[1:-2] << np.uint32(8) | b[2:-1] << np.uint32(16)
-    four = three | b[3:] << np.uint32(24)
-    h3, h4 = three * np.uint32(0x9E3779B1), (four ^ np.uint32(0x5BD1E995)) * np.uint32(0x85EBCA6B)
+    both = hashed(b)
     sizes = np.array([len(r) for r in raw])
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    inside = np.ones(len(h3), bool)
+    inside = np.ones(len(both), bool)
     for k in (1, 2, 3):  # windows must not reach into the next text
         inside[bounds[1:] - k] = False
     upto = np.concatenate([[0], np.cumsum(inside)])
-    both = np.stack([h3[inside], h4[inside]], axis=1).ravel() >> np.uint32(16)
-    return both.astype(np.int32), 2 * upto[bounds]
+    return both[inside].ravel(), 2 * upto[bounds]
+
+
+def counted(text: str, piece: int = 1 << 20) -> np.ndarray:
+    """How often each feature occurs in a text, piece by piece."""
+    counts, carry = np.zeros(FEATURES, np.int64), b" "
+    for at in range(0, len(text), piece):
+        b = carry + text[at : at + piece].lower().encode("utf-8", "surrogatepass") + (b"  " if at + piece >= len(text) else b"")
+        counts += np.bincount(hashed(np.frombuffer(b, np.uint8).astype(np.uint32)).ravel(), minlength=FEATURES)
+        carry = b[-3:]
+    return counts
 
 
 def letters(text: str | None) -> bool:
@@ -58,26 +76,33 @@ class Model:
         self.p = (smooth / smooth.sum(axis=0)).astype(np.float32) if languages else counts.astype(np.float32)
         self.p *= np.float32(FEATURES)  # keeps single precision away from denormals
 
-    def mix(self, p: np.ndarray, w: np.ndarray, steps: int) -> tuple[np.ndarray, float]:
+    def mix(self, p: np.ndarray, w: np.ndarray, steps: int, times: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+        """Steps of expectation-maximisation, and the log likelihood; times: how often each row of p occurs (else once)."""
+        if times is not None:
+            total = times.sum()
+            for _ in range(steps):
+                w = (w * (p.T @ (times / (p @ w))) / total).astype(np.float32)
+            return w, float(times @ np.log(p @ w))
         for _ in range(steps):
             w = w * (p.T @ (1 / (p @ w))) / len(p)
         return w, float(np.log(p @ w).sum(dtype=np.float64))
 
-    def proportions(self, features: np.ndarray) -> tuple[list[int], np.ndarray]:
+    def proportions(self, features: np.ndarray, times: np.ndarray | None = None) -> tuple[list[int], np.ndarray]:
         """The chosen language set, largest share first, and the shares of the full mixture."""
         p, k = self.p[features], len(self.languages)
-        w, full = self.mix(p, np.full(k, 1 / k, np.float32), STEPS)
+        size = len(p) if times is None else times.sum()
+        w, full = self.mix(p, np.full(k, 1 / k, np.float32), STEPS, times)
         order = np.argsort(-w, kind="stable")
         best, chosen = -np.inf, order[:1]
         for n in range(1, k + 1):
             own = order[:n]
             if n == 1:
-                fit = float(np.log(p[:, own[0]]).sum(dtype=np.float64))
+                fit = float(np.log(p[:, own[0]]).sum(dtype=np.float64) if times is None else times @ np.log(p[:, own[0]]))
             elif n == k:
                 fit = full
             else:
-                fit = self.mix(p[:, own], (w[own] / max(w[own].sum(), 1e-9)).astype(np.float32), 2)[1]
-            value = fit - PENALTY * n * np.log(len(p))
+                fit = self.mix(p[:, own], (w[own] / max(w[own].sum(), 1e-9)).astype(np.float32), 2, times)[1]
+            value = fit - PENALTY * n * np.log(size)
             if value <= best:
                 break
             best, chosen = value, own
@@ -86,16 +111,20 @@ class Model:
     def sets(self, texts: list) -> list[tuple[list[int], np.ndarray, np.ndarray]]:
         """For each text the chosen set, the proportions refitted on it, and the shares of the full mixture; empty sets for ``und``."""
         out = []
-        flat, bounds = ngrams([t or "" for t in texts])
+        flat, bounds = ngrams([t if t and len(t) <= LONG else "" for t in texts])
         for i, t in enumerate(texts):
             if not self.languages or not letters(t):
                 out.append(([], np.zeros(0), np.zeros(len(self.languages))))
                 continue
-            features = flat[bounds[i] : bounds[i + 1]]
-            chosen, w = self.proportions(features)
+            features, times = flat[bounds[i] : bounds[i + 1]], None
+            if len(t) > LONG:
+                counts = counted(t)
+                features = np.flatnonzero(counts)
+                times = counts[features].astype(np.float64)
+            chosen, w = self.proportions(features, times)
             own = w[chosen] / max(w[chosen].sum(), 1e-9)
             if 1 < len(chosen) < len(w):
-                own = self.mix(self.p[features][:, chosen], own.astype(np.float32), STEPS)[0]
+                own = self.mix(self.p[features][:, chosen], own.astype(np.float32), STEPS, times)[0]
             out.append((chosen, own, w))
         return out
 
@@ -114,15 +143,16 @@ def train(df: DataFrame, train_rows: int = 20_000, id_col: str = "doc_id", text_
     if n > train_rows:
         labelled = labelled.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(1_000_003 * train_rows / n))
 
+    @task
     def count(batches):
-        drop_models()
         totals: dict[str, np.ndarray] = {}
         for b in slices(batches):
-            flat, bounds = ngrams(b.column(0).to_pylist())
-            for k, lang in enumerate(b.column(1).to_pylist()):
+            texts = b.column(0).to_pylist()
+            flat, bounds = ngrams([t if len(t) <= LONG else "" for t in texts])
+            for k, (t, lang) in enumerate(zip(texts, b.column(1).to_pylist(), strict=True)):
                 if lang not in totals:
                     totals[lang] = np.zeros(FEATURES, np.int64)
-                totals[lang] += np.bincount(flat[bounds[k] : bounds[k + 1]], minlength=FEATURES)
+                totals[lang] += counted(t) if len(t) > LONG else np.bincount(flat[bounds[k] : bounds[k + 1]], minlength=FEATURES)
         for lang, c in totals.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(c[at])], names=["lang", "feature", "n"])
@@ -139,6 +169,7 @@ def train(df: DataFrame, train_rows: int = 20_000, id_col: str = "doc_id", text_
 def detect(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, languages: the chosen set, proportions: refitted on it)."""
 
+    @task
     def run(batches):
         for b in slices(batches, 2 << 20):
             got = model.sets(b.column(1).to_pylist())
@@ -147,17 +178,15 @@ def detect(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             own = [shares.tolist() for _, shares, _ in got]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(own, pa.list_(pa.float64()))], names=["id", "lang_pred", "score", "languages", "proportions"])
 
-    small_batches(df.sparkSession)
     return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {sql_type(df, id_col)}, lang_pred string, score double, languages array<string>, proportions array<double>")
 
 
 def keep_identified(df: DataFrame, model: Model, least: float = 0.4, text_col: str = "text") -> DataFrame:
     """The rows whose language set has at least that share of the mixture, with all their columns."""
     at = df.columns.index(text_col)
-    small_batches(df.sparkSession)
 
+    @task
     def run(batches):
-        drop_models()
         for b in slices(batches, 2 << 20):
             got = model.sets(b.column(at).to_pylist())
             yield b.filter(pa.array([bool(chosen) and float(w[chosen].sum()) >= least for chosen, _, w in got], pa.bool_()))

@@ -29,15 +29,14 @@ stay whole.  Columns other than id and text are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import drop_models, fresh_path, ids_and_texts, slices, small_batches, staged, tidy, utf8
+from sluice.llm.common import fresh_path, grouped, ids_and_texts, slices, staged, task, utf8
 
 LENGTH, GRAM, SHALLOW = 50, 20, 24
 LAST = np.iinfo(np.int64).max  # a null id
@@ -202,7 +201,8 @@ class Batch:
     def entries(self, parts: int):
         """Distinct (part, key, context) in order: their parts, keys, contexts, smallest ids, and the entry of each anchor."""
         key, ctx, ids = self.key >> np.uint64(16), self.context >> np.uint64(16), self.ids[self.doc]
-        part = ((self.key & np.uint64(0xFFFF)) * np.uint64(parts) >> np.uint64(16)).astype(np.int64)
+        low = (self.key & np.uint64(0xFFFF)) << np.uint64(16) | key & np.uint64(0xFFFF)  # led by bits that the key is sent without
+        part = (low * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         order = np.lexsort((ids, ctx, key, part))
         p, k, c = part[order], key[order], ctx[order]
         new = np.ones(len(order), bool)
@@ -254,7 +254,6 @@ def write_batches(batches, folder: str, batch_bytes: int):
     filesys, base = files(folder)
     filesys.create_dir(base, recursive=True)
     held, size = [], 0
-    drop_models()
 
     def write():
         name, table = uuid.uuid4().hex, pa.Table.from_batches(held)
@@ -277,7 +276,6 @@ ANCHORS = "part int, batch string, keys binary, contexts binary, base long, widt
 
 
 def send_anchors(batches, folder: str, parts: int):
-    drop_models()
     for name in (x for b in batches for x in b.column(0).to_pylist()):
         batch = read_batch(folder, name)
         batch.find_anchors()
@@ -454,35 +452,50 @@ def finish_batch(key, table: pa.Table, folder: str, texts: bool) -> pa.Table:
     return pa.Table.from_arrays(cols, names=names)
 
 
-def remove_repeats(df: DataFrame, batch_bytes: int = 8 << 20, parts: int | None = None, texts: bool = False, carry: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def batch_size(df: DataFrame, least: int = 8 << 20, most: int = 32 << 20) -> int:
+    """Bytes a batch: grows as the root of the input, so that batches x parts grows in proportion until ``most``, a matter of worker memory."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(least, min(most, math.isqrt(size << 17)))
+
+
+def remove_repeats(df: DataFrame, batch_bytes: int | None = None, parts: int | None = None, texts: bool = False, carry: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256); if asked for, the remaining bytes as ``kept`` and other columns in ``rest``."""
     spark = df.sparkSession
-    folder = fresh_path(spark, "suffix-batches")
+    folder, batch_bytes = fresh_path(spark, "suffix-batches"), batch_bytes or batch_size(df)
     rows = ids_and_texts(df, id_col, text_col).select(F.col("id").cast("long").alias("id"), "text")
-    small_batches(spark)
     if carry:
         rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in carry)).alias("rest"))
-    manifest = staged(rows.mapInArrow(partial(write_batches, folder=folder, batch_bytes=batch_bytes), "batch string"), "suffix-manifest")
-    n = manifest.count()
-    parts = min(1 << 16, parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 2))
-    tasks = manifest.repartition(max(1, n), "batch")
-    sent = tasks.mapInArrow(partial(send_anchors, folder=folder, parts=parts), ANCHORS)
-    answers = sent.repartition(parts, "part").groupBy("part").applyInArrow(answer_anchors, ANSWERS)
+    @task
+    def write(batches):
+        yield from write_batches(batches, folder, batch_bytes)
+
+    @task
+    def send(batches):
+        yield from send_anchors(batches, folder, parts)
 
+    @grouped
+    def answer(key, table):
+        return answer_anchors(table)
+
+    @grouped
     def use(key, table):
-        drop_models()
-        out = use_answers(key, table, folder, parts)
-        tidy()
-        return out
+        return use_answers(key, table, folder, parts)
+
+    @grouped
+    def compare(key, table):
+        return compare_contexts(table)
 
+    @grouped
     def finish(key, table):
-        drop_models()
-        out = finish_batch(key, table, folder, texts)
-        tidy()
-        return out
+        return finish_batch(key, table, folder, texts)
 
+    manifest = staged(rows.mapInArrow(write, "batch string"), "suffix-manifest")
+    n = manifest.count()
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 2)
+    sent = manifest.repartition(max(1, n), "batch").mapInArrow(send, ANCHORS)
+    answers = sent.repartition(parts, "part").groupBy("part").applyInArrow(answer, ANSWERS)
     step = staged(answers.repartition(max(1, n), "batch").groupBy("batch").applyInArrow(use, STEP), "suffix-step")
-    compared = step.filter("kind = 1").repartition(parts, "part").groupBy("part").applyInArrow(compare_contexts, STEP)
+    compared = step.filter("kind = 1").repartition(parts, "part").groupBy("part").applyInArrow(compare, STEP)
     out = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts + (f", rest {rows.schema['rest'].dataType.simpleString()}" if carry else "")
     return step.filter("kind = 0").unionByName(compared).repartition(max(1, n), "batch").groupBy("batch").applyInArrow(finish, out)
 

@@ -22,6 +22,7 @@ as often.  Columns other than id and text are not read.
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 import numpy as np
@@ -29,25 +30,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import drop_models, drop_staged, ids_and_texts, slices, sql_type, staged, utf8
+from sluice.llm.common import drop_staged, ids_and_texts, slices, sql_type, staged, task, utf8
+
+
+BLANK = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def byte_pieces(text: bytes, size: int = 1 << 20) -> list[bytes]:
+    """A long text in pieces cut at blanks (a word that is longer stays whole)."""
+    out, at = [], 0
+    while len(text) - at > size and (m := BLANK.search(text, at + size)):
+        out.append(text[at : m.start()])
+        at = m.start()
+    return [*out, text[at:]]
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     """Signed 64 bits."""
     from xxhash import xxh64_intdigest
 
-    w = text.lower().split()  # bytes: lower() takes A-Z, split() takes 0x20 and 0x09-0x0D
-    if not w:
-        return 0
-    shingles = [b" ".join(s) for s in zip(*(w[k:] for k in range(words)), strict=False)] if len(w) >= words else [b" ".join(w)]
-    h = np.fromiter((xxh64_intdigest(s, seed) for s in shingles), np.uint64, len(shingles))
-    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view("<i8")[0])
+    ones, n, carry = np.zeros(64, np.int64), 0, []
+    for piece in byte_pieces(text):  # words of a piece, after the last ones before it
+        w = carry + piece.lower().split()  # bytes: lower() takes A-Z, split() takes 0x20 and 0x09-0x0D
+        shingles = [b" ".join(s) for s in zip(*(w[k:] for k in range(words)), strict=False)]
+        carry = w[max(0, len(w) - words + 1) :]
+        h = np.fromiter((xxh64_intdigest(s, seed) for s in shingles), np.uint64, len(shingles))
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(shingles)
+    if not n and carry:  # fewer words than a shingle has
+        h = np.array([xxh64_intdigest(b" ".join(carry), seed)], np.uint64)
+        ones, n = np.unpackbits(h.view(np.uint8), bitorder="little").astype(np.int64), 1
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
 def fingerprints(df: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp long)."""
 
+    @task
     def run(batches):
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, words, seed) for t in utf8(b.column(1).to_pylist())], pa.int64())], names=["id", "fp"])
@@ -128,58 +147,101 @@ def components(df: DataFrame, words: int = 3, distance: int = 2, blocks: int = 5
 
 
 TINY = 1e-9  # least shares times counts may be off by less
+BLOCKS, SAMPLE = 12, 3  # of a wide fingerprint: blocks, and shingles in each
+WORDS64, CROWD_WORDS64 = 16, 64  # and 64-bit words of bits: of all texts, and of those in crowds
+PART = 1 << 14  # shingles worked on at once
 
 
-def majority(h: np.ndarray) -> int:
-    """SimHash of a few hashes, as signed 64 bits."""
-    if len(h) == 3:
-        a, b, c = (int(x) for x in h)
-        bits = a & b | a & c | b & c
-    else:
-        ones = np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        bits = int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
-    return bits - (1 << 64) if bits >> 63 else bits
+def majority(h: np.ndarray) -> np.ndarray:
+    """SimHash of each row of hashes, as signed 64 bits."""
+    if h.shape[1] == 3:
+        a, b, c = h.T
+        return (a & b | a & c | b & c).view("<i8")
+    ones = np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(*h.shape, 8), axis=2, bitorder="little").sum(axis=1, dtype=np.int64)
+    return np.packbits(2 * ones > h.shape[1], axis=1, bitorder="little").view("<i8").ravel()
+
+
+SEEDS = np.array([0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1 for k in range(CROWD_WORDS64)], np.uint64)
 
 
-def mix(h: np.ndarray, seed: int) -> np.ndarray:
+def mix(h: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """Another hash of each hash.  Two rounds: with one, the order under different seeds would be correlated."""
-    m = (h ^ np.uint64(0x9E3779B97F4A7C15 * (seed + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    m = (h ^ seeds) * np.uint64(0xBF58476D1CE4E5B9)
     m = (m ^ (m >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
     return m ^ (m >> np.uint64(29))
 
 
-def shingle_set(text: bytes, words: int) -> tuple[int, np.ndarray]:
-    """A class of equal word sequences, and the sorted hashes of all shingles."""
-    from xxhash import xxh64_intdigest
+def mixes(h: np.ndarray, words64: int = WORDS64) -> np.ndarray:
+    """That many more hashes of each hash, a row each."""
+    return mix(h[None, :], SEEDS[:words64, None])
+
+
+def set_bits(mixed: np.ndarray) -> np.ndarray:
+    """In how many hashes each bit is set, for 64 bits of each row."""
+    raw, ones = np.ascontiguousarray(mixed.T).view(np.uint8), np.zeros(64 * len(mixed), np.int64)
+    for at in range(0, len(raw), 255):
+        ones += np.add.reduce(np.unpackbits(raw[at : at + 255], axis=1), axis=0, dtype=np.uint8)
+    return ones
+
+
+def packed(ones: np.ndarray, n: int) -> list[int]:
+    """The bits set in over half of n, as signed words."""
+    return np.packbits(2 * ones > n).view("<i8").tolist()
 
-    w = text.lower().split()
-    shingles = {b" ".join(s) for s in zip(*(w[k:] for k in range(words)), strict=False)} if len(w) >= words else {b" ".join(w)}
-    cls = xxh64_intdigest(b" ".join(w), 42)
-    return cls - (1 << 64) if cls >> 63 else cls, np.unique(np.fromiter((xxh64_intdigest(s, 42) for s in shingles), np.uint64, len(shingles)))
 
+def wide_simhash(h: np.ndarray, words64: int = WORDS64) -> list[int]:
+    return packed(sum(set_bits(mixes(h[at : at + PART], words64)) for at in range(0, len(h), PART)), len(h))
 
-def sampled_blocks(text: bytes, words: int, blocks: int, sample: int, sketch: int) -> tuple[int, list[int], bytes, int]:
-    """A class of equal word sequences, a fingerprint of ``blocks`` blocks, the ``sketch`` smallest shingle hashes, and the number of shingles.
 
-    Block k is the SimHash of the ``sample`` shingles that come first under the k-th
-    hash, so texts of similarity s share it with probability s ** sample.
+def bits_apart(least: float, words64: int) -> tuple[int, int]:
+    """The most bits by which wide fingerprints of sets of that similarity differ, but for a chance of 3e-7: from nine shingles on, and below.
+
+    A bit differs with probability acos(2s / (1 + s)) / pi at most; five deviations are
+    added.  With fewer than nine shingles majorities tie often; measured: a quarter more.
     """
-    cls, h = shingle_set(text, words)
-    out = []
-    for k in range(blocks):
-        mixed = mix(h, k)
-        first = np.argpartition(mixed, sample)[:sample] if len(h) > sample else slice(None)
-        out.append(majority(h[first]))
-    return cls, out, (h[:sketch] >> np.uint64(32)).astype("<u4").tobytes(), len(h)
+    p = float(np.arccos(min(1.0, 2 * least / (1 + least))) / np.pi)
+    bits = 64 * words64
+    return tuple(int(np.ceil(bits * q + 5 * np.sqrt(bits * q * (1 - q)))) for q in (p, min(0.5, 1.25 * p)))
 
 
-def similarity(a: bytes, b: bytes, sketch: int) -> float:
-    """Jaccard similarity of shingle sets as their smallest hashes estimate it; only good to tell pairs far apart."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    both = np.union1d(x, y)
-    if len(x) >= sketch or len(y) >= sketch:
-        both = both[:sketch]
-    return float(np.isin(both, np.intersect1d(x, y)).mean()) if len(both) else 1.0
+def shingle_set(text: bytes, words: int) -> tuple[int, np.ndarray]:
+    """A class of equal word sequences, and the sorted hashes of all shingles."""
+    from xxhash import xxh64, xxh64_intdigest
+
+    whole, carry, found = xxh64(seed=42), [], []
+    for piece in byte_pieces(text):  # words of a piece, after the last ones before it
+        w = piece.lower().split()
+        if w:
+            whole.update(b" ".join(w) if not carry else b" " + b" ".join(w))
+        w = carry + w
+        shingles = {b" ".join(s) for s in zip(*(w[k:] for k in range(words)), strict=False)}
+        found.append(np.unique(np.fromiter((xxh64_intdigest(s, 42) for s in shingles), np.uint64, len(shingles))))
+        carry = w[max(0, len(w) - words + 1) :]
+    h = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
+    if not len(h):
+        h = np.array([xxh64_intdigest(b" ".join(carry), 42)], np.uint64)
+    cls = whole.intdigest()
+    return cls - (1 << 64) if cls >> 63 else cls, h
+
+
+def wide_fingerprint(text: bytes, words: int) -> tuple[int, list[int], list[int], int]:
+    """A class of equal word sequences, the blocks and the bits of its fingerprint, and the number of shingles.
+
+    Block k is the SimHash of the SAMPLE shingles that come first under the k-th hash, so
+    texts of similarity s share it with probability s ** SAMPLE.
+    """
+    cls, h = shingle_set(text, words)
+    first, ones = np.zeros((BLOCKS, 0), np.uint64), np.zeros(64 * WORDS64, np.int64)
+    for at in range(0, len(h), PART):
+        own = h[at : at + PART]
+        mixed = mixes(own)
+        ones += set_bits(mixed)
+        best = own[np.argpartition(mixed[:BLOCKS], SAMPLE, axis=1)[:, :SAMPLE]] if len(own) > SAMPLE else np.broadcast_to(own, (BLOCKS, len(own)))
+        first = np.concatenate([first, best], axis=1)
+    if first.shape[1] > SAMPLE:  # the sample is that of the parts' samples
+        best = np.argpartition(mix(first, SEEDS[:BLOCKS, None]), SAMPLE, axis=1)[:, :SAMPLE]
+        first = np.take_along_axis(first, best, axis=1)
+    return cls, majority(first).tolist(), packed(ones, len(h)), len(h)
 
 
 def exact_similarity(a: bytes, b: bytes) -> float:
@@ -190,14 +252,15 @@ def exact_similarity(a: bytes, b: bytes) -> float:
 
 
 def prefixes(sets: DataFrame, least: float) -> DataFrame:
-    """(cls, n, at, key): the first of each class's shingles, those in fewest classes first; at: the place.
+    """(cls, n, at, key, prefix): the first of each class's shingles, those in fewest classes first; at: the place; prefix: all of the class's keys.
 
     Sets of similarity ``least`` have a shingle in common among them: of n, no more than
     n - least * n can be missing from the other.
     """
 
+    @task
     def run(batches):
-        for b in slices(batches):
+        for b in slices(batches, 1 << 20):
             h = [np.frombuffer(x.as_buffer(), "<i8") for x in b.column(1)]
             n = np.array([len(x) for x in h], np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(h))], names=["cls", "n", "key"])
@@ -206,32 +269,51 @@ def prefixes(sets: DataFrame, least: float) -> DataFrame:
     common = shingles.groupBy("key").agg(F.count("*").alias("classes"))
     place = F.row_number().over(Window.partitionBy("cls").orderBy("classes", "key")) - 1
     first = shingles.join(common, "key").withColumn("at", place).filter(F.col("n") - F.col("at") >= least * F.col("n") - TINY)
-    return first.filter("classes > 1").select("cls", "n", "at", "key")
+    lists = first.filter("classes > 1").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("at", "key"))).alias("prefix"))
+    return lists.select("cls", "n", F.col("prefix.key").alias("prefix"), F.explode("prefix").alias("one")).select("cls", "n", "one.at", "one.key", "prefix")
+
 
+def hamming(least: float, words64: int = WORDS64):
+    """Whether the rows' fingerprints fp_1, fp_2 are within the bits that similarity ``least`` allows."""
+    if words64 <= WORDS64:
+        apart = sum((F.bit_count(F.col("fp_1")[k].bitwiseXOR(F.col("fp_2")[k])) for k in range(1, words64)), F.bit_count(F.col("fp_1")[0].bitwiseXOR(F.col("fp_2")[0])))
+    else:  # too long a method for the JVM's compiler if written out
+        apart = F.aggregate(F.zip_with("fp_1", "fp_2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    most, most_few = bits_apart(least, words64)
+    return apart <= F.when(F.least("n_1", "n_2") < 9, most_few).otherwise(most)
 
-def possible_pairs(keyed: DataFrame, least: float) -> DataFrame:
-    """Pairs (a < b) of different parts under a key that can be ``least`` alike.
+
+def possible_pairs(keyed: DataFrame, least: float, words64: int = WORDS64) -> DataFrame:
+    """Pairs (a < b) of different parts under a key whose fingerprints are near and that can be ``least`` alike.
 
     Sets of m and n shingles have least / (1 + least) * (m + n) in common, and none of those
     before their first key in common.  So the smaller one has that key near its front: only
-    such rows start pairs.  Rows of one key are dealt over tasks.
+    such rows start pairs.  Rows of one key are dealt over tasks.  With a column prefix, a pair
+    is made under the first key that both have, and under no other.
     """
     share = least / (1 + least)
     front = F.col("n") - F.col("at") >= 2 * share * F.col("n") - TINY
     deal = F.ceil(F.col("size") / 256).cast("int")
-    one = keyed.filter(front).select("key", F.pmod(F.xxhash64("cls"), deal).cast("int").alias("salt"), *(F.col(c).alias(f"{c}_1") for c in ("cls", "part", "n", "at")))
-    two = keyed.select("key", F.explode(F.sequence(F.lit(0), deal - 1)).alias("salt"), *(F.col(c).alias(f"{c}_2") for c in ("cls", "part", "n", "at")))
+    own = ("cls", "part", "n", "at", "fp", *(("prefix",) if "prefix" in keyed.columns else ()))
+    one = keyed.filter(front).select("key", F.pmod(F.xxhash64("cls"), deal).cast("int").alias("salt"), *(F.col(c).alias(f"{c}_1") for c in own))
+    two = keyed.select("key", F.explode(F.sequence(F.lit(0), deal - 1)).alias("salt"), *(F.col(c).alias(f"{c}_2") for c in own))
+    if "prefix" in own:  # small rows, much to compare: not to be put together into few tasks
+        tasks = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        one, two = one.repartition(tasks, "key", "salt"), two.repartition(tasks, "key", "salt")
     joined = one.join(two, ["key", "salt"]).filter("part_1 <> part_2 AND (n_1 < n_2 OR n_1 = n_2 AND cls_1 < cls_2)")
     joined = joined.filter(F.least(F.expr("n_1 - at_1"), F.expr("n_2 - at_2")) >= share * F.expr("n_1 + n_2") - TINY)
+    if "prefix" in own:
+        joined = joined.filter(F.array_intersect("prefix_1", "prefix_2")[0] == F.col("key"))
+    joined = joined.filter(hamming(least, words64))
     return joined.select(F.least("cls_1", "cls_2").alias("a"), F.greatest("cls_1", "cls_2").alias("b"))
 
 
-def near_groups(df: DataFrame, words: int = 5, least: float = 0.8, blocks: int = 12, sample: int = 3, sketch: int = 192, pair_limit: int = 24, stars: int = 2, slack: float = 0.25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(df: DataFrame, words: int = 5, least: float = 0.8, pair_limit: int = 24, stars: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, group) for rows that aren't the smallest id of their group of near copies.
 
-    Candidates share a block.  Those whose sketches are less than ``least - slack`` alike are
-    left out (a pair of similarity 0.8 is with probability 1e-14); the others are verified on
-    their whole shingle sets.
+    Fingerprints have BLOCKS blocks, each of a few sampled shingles, and WORDS64 words of
+    SimHash over all shingles (CROWD_WORDS64 in crowds).  Candidates share a block; in the same join
+    their Hamming distance is verified (see bits_apart), and what passes on whole shingle sets.
 
     A block with more than ``pair_limit`` classes (a crowd) emits no pairs: each class is
     compared with one of them, the centre.  The classes of crowds that then hold more
@@ -242,70 +324,88 @@ def near_groups(df: DataFrame, words: int = 5, least: float = 0.8, blocks: int =
     kind = sql_type(df, id_col)
     texts = ids_and_texts(df, id_col, text_col).filter("id is not null")
 
+    @task
     def run(batches):
-        drop_models()
         for b in slices(batches):
-            got = [sampled_blocks(t, words, blocks, sample, sketch) for t in utf8(b.column(1).to_pylist())]
-            cls, keys, low, n = zip(*got, strict=True)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary()), pa.array(n, pa.int32())], names=["id", "cls", "blocks", "sketch", "n"])
+            cls, blocks, fp, n = zip(*(wide_fingerprint(t, words) for t in utf8(b.column(1).to_pylist())), strict=True)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.int64()), pa.array(blocks, pa.list_(pa.int64())), pa.array(fp, pa.list_(pa.int64())), pa.array(n, pa.int32())], names=["id", "cls", "blocks", "fp", "n"])
 
+    @task
     def shingle(batches):
         for b in slices(batches, 1 << 20):
             cls, sets = zip(*(shingle_set(t, words) for t in utf8(b.column(1).to_pylist())), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], names=["cls", "set"])
 
-    def kept(good):
-        def run(batches):
-            for b in slices(batches):
-                yes = [good(x, y) for x, y in zip(b.column(2), b.column(3), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(yes, pa.bool_()))
-
-        return run
+    @task
+    def widen(batches):
+        for b in slices(batches, 1 << 20):
+            fp = [wide_simhash(np.frombuffer(x.as_buffer(), "<u8"), CROWD_WORDS64) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.list_(pa.int64()))], names=["cls", "fp"])
 
-    screen = kept(lambda x, y: similarity(x.as_buffer(), y.as_buffer(), sketch) >= least - slack)
-    verify = kept(lambda x, y: exact_similarity(x.as_buffer(), y.as_buffer()) >= least)
+    @task
+    def verify(batches):
+        for b in slices(batches):
+            yes = [exact_similarity(x.as_buffer(), y.as_buffer()) >= least for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
     def whole_sets(wanted):
         """(cls, set) of the wanted classes, from the texts of their heads."""
-        ids = classes.join(wanted, "cls", "left_semi").select(F.col("head").alias("id"))
+        ids = heads.join(wanted, "cls", "left_semi").select(F.col("head").alias("id"))
         sets = texts.join(ids, "id", "left_semi").mapInArrow(shingle, "cls long, set binary")
         return staged(sets.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "near-sets")
 
     def both(pairs, table, col):
         return pairs.join(table.select(F.col("cls").alias("a"), F.col(col).alias("sa")), "a").join(table.select(F.col("cls").alias("b"), F.col(col).alias("sb")), "b").select("a", "b", "sa", "sb")
 
-    rows = staged(texts.mapInArrow(run, f"id {kind}, cls long, blocks array<long>, sketch binary, n int"), "near-rows")
-    classes = staged(rows.groupBy("cls").agg(F.min("id").alias("head")), "near-classes")
-    heads = staged(rows.join(classes, (rows.cls == classes["cls"]) & (rows.id == classes["head"]), "left_semi").dropDuplicates(["cls"]), "near-heads")
-    sketches = heads.select("cls", "sketch")
+    rows = staged(texts.mapInArrow(run, f"id {kind}, cls long, blocks array<long>, fp array<long>, n int"), "near-rows")
+    heads = staged(rows.groupBy("cls").agg(F.min("id").alias("head"), *(F.first(c).alias(c) for c in ("n", "blocks", "fp"))), "near-heads")
+    prints = heads.select("cls", "fp")
     # part: the group known so far; two of one part needn't be compared
     keyed = heads.select("cls", F.col("cls").alias("part"), "n", F.lit(0).alias("at"), F.posexplode("blocks").alias("k", "bits")).select("cls", "part", "n", "at", F.xxhash64("k", "bits").alias("key"))
-    root, sets, level = None, None, 0
+    root, sets, crowds, level, words64 = None, None, None, 0, WORDS64
     while True:
         crowded = F.col("size") > pair_limit if level <= stars else F.lit(False)
-        center = F.min_by(F.struct("cls", "part"), F.struct(F.xxhash64("cls", F.lit(level)), "cls")) if level else F.min(F.struct("cls", "part"))
+        center = F.min_by(F.struct("cls", "part", "n"), F.struct(F.xxhash64("cls", F.lit(level)), "cls")) if level else F.min(F.struct("cls", "part", "n"))
         sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), center.alias("center"), F.min("part").alias("lo"), F.max("part").alias("hi"))
         shared = staged(keyed.join(sizes.filter("lo < hi").select("key", "size", "center"), "key"), "near-keys")
-        pairs = possible_pairs(shared.filter(~crowded), least)
-        star = shared.filter(crowded & (F.col("part") != F.col("center.part"))).select(F.least("cls", "center.cls").alias("a"), F.greatest("cls", "center.cls").alias("b"))
-        likely = staged(both(pairs.union(star).distinct(), sketches, "sketch").mapInArrow(screen, "a long, b long"), "near-likely")
+        if crowds is not None:
+            drop_staged(crowds)
+        pairs = possible_pairs(shared.filter(~crowded).drop("center").join(prints, "cls"), least, words64)
+        star = shared.filter(crowded & (F.col("part") != F.col("center.part"))).select("cls", F.col("center.cls").alias("mid"), F.col("n").alias("n_1"), F.col("center.n").alias("n_2")).distinct()
+        star = star.join(prints.select("cls", F.col("fp").alias("fp_1")), "cls").join(prints.select(F.col("cls").alias("mid"), F.col("fp").alias("fp_2")), "mid").filter(hamming(least, words64))
+        star = star.select(F.least("cls", "mid").alias("a"), F.greatest("cls", "mid").alias("b"))
+        likely = staged(pairs.union(star).distinct(), "near-likely")
         wanted = likely.select(F.col("a").alias("cls")).union(likely.select(F.col("b").alias("cls"))).distinct()
-        found = staged(both(likely, whole_sets(wanted) if sets is None else sets, "set").mapInArrow(verify, "a long, b long"), "near-links")
+        own = whole_sets(wanted) if sets is None else sets
+        found = staged(both(likely, own, "set").mapInArrow(verify, "a long, b long"), "near-links")
+        drop_staged(likely)
+        if sets is None:
+            drop_staged(own)
         if root is None:
             root = smallest_reachable(found)
         elif not found.isEmpty():
-            root = smallest_reachable(root.toDF("a", "b").union(found))
-        now = shared.filter(crowded).drop("part", "size", "center").join(root, F.col("cls") == root.node, "left").select("key", "cls", "n", "at", F.coalesce("root", "cls").alias("part"))
+            old, root = root, smallest_reachable(root.toDF("a", "b").union(found))
+            drop_staged(old)
+        drop_staged(found)
+        now = shared.filter(crowded).drop("part", "size", "center").join(root, F.col("cls") == root.node, "left").select(*(c for c in shared.columns if c not in ("part", "size", "center")), F.coalesce("root", "cls").alias("part"))
         mixed = now.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-        keyed = staged(now.join(mixed, "key", "left_semi"), "near-crowds")
+        crowds = keyed = staged(now.join(mixed, "key", "left_semi"), "near-crowds")
+        drop_staged(shared)
         if keyed.isEmpty():
             break
         level += 1
         if level == 1:
             members = staged(keyed.groupBy("cls").agg(F.min("part").alias("part")), "near-members")
             sets = whole_sets(members.select("cls"))
+            prints, words64 = staged(sets.mapInArrow(widen, "cls long, fp array<long>"), "near-wide"), CROWD_WORDS64
             keyed = staged(prefixes(sets, least).join(members, "cls"), "near-prefixes")
-    grouped = staged(classes.join(root, classes["cls"] == root.node, "left").select("cls", "head", F.coalesce("root", "cls").alias("root")), "near-grouped")
+            drop_staged(crowds)
+            drop_staged(members)
+            crowds = keyed
+    if sets is not None:
+        drop_staged(sets)
+    grouped = staged(heads.select("cls", "head").join(root, F.col("cls") == root.node, "left").select("cls", "head", F.coalesce("root", "cls").alias("root")), "near-grouped")
+    drop_staged(root)
     least_ids = grouped.groupBy("root").agg(F.min("head").alias("group"))
     return rows.select("id", "cls").join(grouped.join(least_ids, "root").select("cls", "group"), "cls").filter("id != group").select("id", "group")
 

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from sluice.llm import arrow_stream, bpe_codec, bpe_fst, flac, language_mixture, packing, quartile_digest, sharding, simhash, suffix_dedup, token_counts
-from sluice.llm.common import tokenizer_path
+from sluice.llm.common import pieces, tokenizer_path
 from sluice.llm.library_ids import LibraryIds
 from sluice.llm.queries import QUERIES
 
@@ -115,6 +115,28 @@ def test_packer_holds_few_pieces():
     assert sum(r[2] for r in p.rows) == 500 * 1500
 
 
+def test_packer_takes_the_closest_multiset(ids):
+    """All sequences but the last few are full; the first is the longest remainder and the multiset closest to the rest."""
+    p = packing.Packer(2048, 64, 0)
+    for i, x in ids.items():
+        p.add(i, np.array([*x, 1], np.uint32))
+        assert p.n_held <= 64 + 2048
+    held = {k: len(q) for k, q in p.held.items()}
+    opener = max(held)
+    held[opener] -= 1
+    chosen = packing.closest_multiset({k: n for k, n in held.items() if n}, 2048 - opener)
+    first = p.sequence
+    p.finish()
+    lengths = sorted((r[2] for r in p.rows if r[5] == first), reverse=True)
+    made = Counter(lengths) - Counter({opener: 1})
+    assert all(made[k] >= n for k, n in chosen.items())
+    totals = Counter()
+    for r in p.rows:
+        totals[r[5]] += r[2]
+    short = [n for n in totals.values() if n < 2048]
+    assert len(short) <= 11 and all(n & (n - 1) == 0 for n in short)
+
+
 def test_token_counts(spark, sf, docs, ids):
     for r in QUERIES["op2_token_counts"](spark, sf).collect():
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((docs[r.doc_id] or "").encode()), len(ids[r.doc_id]), len(ids[r.doc_id]) > 1024)
@@ -202,6 +224,47 @@ def test_flac_blocks(spark, sf, docs):
         assert bytes(b ^ 128 for b in got[i]) == flac.padded((x or "").encode())
 
 
+def test_pieces_of_long_texts(docs):
+    """Cut into pieces, a text gives what it gives whole."""
+    text = " ".join(x for x in docs.values() if x) * 3
+    raw = text.encode()
+    assert "".join(pieces(text, 500)) == text and max(map(len, pieces(text, 500))) < 40_000
+    t, codec = Tokenizer.from_file(JSON), bpe_codec.Codec(RANKS)
+    ids = t.encode(text, add_special_tokens=False).ids
+    assert [i for p in pieces(text, 500) for i in t.encode(p, add_special_tokens=False).ids] == ids
+    assert token_counts.Counter(JSON)(text) == len(ids)
+    assert b"".join(codec.decode_bytes(codec.encode(p).astype(np.int64)) for p in pieces(text, 3000)) == raw
+    assert (quartile_digest.bucket_counts([raw, b"", b"abc"], 999) == quartile_digest.bucket_counts([raw, b"", b"abc"])).all()
+    flat, _ = language_mixture.ngrams([text])
+    assert (language_mixture.counted(text, 777) == np.bincount(flat, minlength=language_mixture.FEATURES)).all()
+    assert len(simhash.byte_pieces(raw, 700)) > 50
+    whole = simhash.fingerprint(raw), simhash.wide_fingerprint(raw, 5)
+    full, simhash.byte_pieces, simhash.PART = simhash.byte_pieces, lambda x: full(x, 700), 300
+    try:
+        assert (simhash.fingerprint(raw), simhash.wide_fingerprint(raw, 5)) == whole
+    finally:
+        simhash.byte_pieces, simhash.PART = full, 1 << 14
+    lanes, flac.LANES = flac.LANES, 128
+    try:
+        payloads = [flac.padded(x) for x in (raw, b"", raw[:5000])]
+        cut = flac.encode_streams(payloads)
+        assert [(x.view(np.uint8) ^ 128).tobytes() for x in flac.decode_streams(cut)] == payloads
+    finally:
+        flac.LANES = lanes
+    assert cut == flac.encode_streams(payloads)
+
+
+def test_counted_features_predict_alike(spark):
+    """A text of which the features are counted gets the set and the shares that it gets n-gram by n-gram."""
+    found = language_mixture.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect():
+        flat, _ = language_mixture.ngrams([r.text])
+        counts = np.bincount(flat, minlength=language_mixture.FEATURES)
+        at = np.flatnonzero(counts)
+        (a, x), (b, y) = found.proportions(flat), found.proportions(at, counts[at].astype(float))
+        assert a == b and np.allclose(x, y, atol=1e-4)
+
+
 def test_quartile_digests(spark, sf, docs):
     order = sorted(docs)
     rows = {r.doc_id: r for r in QUERIES["op5_quartile_digest"](spark, sf).collect()}
@@ -345,11 +408,30 @@ def test_blocks_are_independent():
     for _ in range(400):
         own = [str(rnd.random()) for _ in range(170)]
         other = own[:60] + ["x"] + own[61:100] + ["y"] + own[101:]  # 156 of 176 shingles: 0.886
-        a, b = (simhash.sampled_blocks(" ".join(t).encode(), 5, 12, 3, 192)[1] for t in (own, other))
+        a, b = (simhash.wide_fingerprint(" ".join(t).encode(), 5)[1] for t in (own, other))
         missed += not any(x == y for x, y in zip(a, b, strict=True))
     assert missed == 0
 
 
+def test_wide_fingerprints_are_near():
+    """Sets of similarity 0.8 and more are never further apart than the bound; sets far below it are."""
+    rng = np.random.default_rng(7)
+    words64 = (simhash.WORDS64, simhash.CROWD_WORDS64)
+    wide = lambda h, w: np.array(simhash.wide_simhash(h, w), np.int64).view(np.uint8)
+    apart = lambda a, b, w: int(np.unpackbits(wide(a, w) ^ wide(b, w)).sum())
+    for n in (5, 6, 7, 8, 9, 12, 19, 40, 101, 146, 600):
+        for _ in range(20):
+            h = rng.integers(0, 1 << 63, 3 * n).astype(np.uint64)
+            both = -(-16 * n // 18)
+            other = np.concatenate([h[:both], h[n : 2 * n - both]])  # as many, 0.8 alike
+            for w in words64:
+                most, few = simhash.bits_apart(0.8, w)
+                assert apart(h[:n], other, w) <= (few if n < 9 else most)
+                assert apart(h[:n], h[: -(-8 * n // 10)], w) <= (few if -(-8 * n // 10) < 9 else most)
+            if n > 100:
+                assert apart(h[:n], np.concatenate([h[: n // 2], h[n : 2 * n - n // 2]]), simhash.WORDS64) > simhash.bits_apart(0.8, simhash.WORDS64)[0]
+
+
 def test_near_copies_in_crowds(spark):
     """Texts that share most of a passage and chains of edits: crowds give the groups of all pairs."""
     rnd = random.Random(8)
@@ -489,10 +571,13 @@ def test_pipeline(spark):
     words = {i: x.lower().split() for i, x in texts.items()}
     shingles = {i: set(zip(*(w[k:] for k in range(5)), strict=False)) or {tuple(w)} for i, w in words.items()}
     left = {r.doc_id for r in one.collect()}
-    for i in texts.keys() - left:
-        assert any(len(shingles[i] & shingles[j]) >= 0.75 * len(shingles[i] | shingles[j]) for j in texts if j < i)
-    for i in left:
-        assert all(len(shingles[i] & shingles[j]) < 0.85 * len(shingles[i] | shingles[j]) for j in left if j < i)
+    group = {i: i for i in texts}
+    for i in texts:
+        for j in texts:
+            if j < i and group[i] != group[j] and len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]) - 1e-12:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = {k: new if g == old else g for k, g in group.items()}
+    assert left == set(group.values())
     rest = {r.doc_id: r for r in corpus_pipeline.passage_dedup(spark, one, sf).collect()}
     want = without_repeats({i: texts[i] for i in left})
     for i, w in want.items():

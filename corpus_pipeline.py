@@ -11,11 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sluice.llm import language_mixture, packing, simhash, suffix_dedup
-from sluice.llm.common import staged, tokenizer_path
+from sluice.llm.common import small_batches, staged, tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no text, no letter, or an even mixture) go."""
+    small_batches(spark)
     return language_mixture.keep_identified(docs, language_mixture.train(docs))
 
 

@@ -35,8 +35,7 @@ class Versions:
     def snapshot(self, tenant: str, deps: list[tuple[str, str]]) -> tuple:
         """deps: (table, scope); scope "" is the whole table."""
         with self.lock:
-            own = [self.n[tenant, t, ""] for t, _ in deps] + [self.n[tenant, t, s or None] for t, s in deps]
-            return (self.n[tenant,], *own)
+            return (self.n[tenant,], *((t, s, self.n[tenant, t, ""], self.n[tenant, t, s or None]) for t, s in sorted(deps)))
 
 
 class Cache:

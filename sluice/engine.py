@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import threading
 import uuid
-from datetime import datetime
+from datetime import UTC, datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +15,15 @@ from sluice import cache as caching
 from sluice import ingest, pipes, policy, sqlscan
 from sluice.catalog import Catalog, tenant_id
 from sluice.errors import EmptyProjection, Forbidden, LimitExceeded, NotFound, Rejected, from_spark
-from sluice.functions import render, shims
+from sluice.functions import render, shims, timestamps
 from sluice.plans import ast, builder
 from sluice.settings import Settings
-from sluice.sources import readers
+from sluice.sources import eventlog, readers
+from sluice.streaming import fanout
+
+
+#: Views are the session's, not a tenant's: they stand only while a statement is analyzed.
+ANALYSIS = threading.Lock()
 
 
 def rows_to_read(df: DataFrame) -> int:
@@ -32,15 +39,23 @@ class Engine:
         if catalog.tables is None:
             catalog.refresh()
 
+    def now(self) -> datetime:
+        return self.clock() if self.clock else datetime.now(UTC)
+
+    def limits(self) -> tuple[int, int]:
+        return self.settings.query("default_max_rows", builder.DEFAULT_MAX_ROWS), self.settings.query("timestamp_bucket_seconds", 0)
+
     # --- structured queries ---
     def plan(self, table: str, query, role: str | None = None, claims: dict | None = None, now: datetime | None = None) -> DataFrame:
         found = self.catalog.lookup(table)
         q = query if isinstance(query, ast.StructuredQuery) else ast.decode(query)
         grant = policy.grant(self.settings.policy, table, role, "select", claims or {})
         try:
-            df = builder.build(q, found, grant, now or (self.clock() if self.clock else None), self.settings.query("default_max_rows", builder.DEFAULT_MAX_ROWS), self.settings.query("timestamp_bucket_seconds", 0))
+            df = builder.build(q, found, grant, now or self.now(), *self.limits())
         except EmptyProjection:
             return self.spark.createDataFrame([], "empty string")
+        except AnalysisException as e:
+            raise from_spark(e) from e
         if (cap := grant.cap("max_rows_to_read")) and rows_to_read(found.load()) > cap:
             raise LimitExceeded("max_rows_to_read")
         if (cap := grant.cap("max_memory_usage")) and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()) > cap:
@@ -48,11 +63,14 @@ class Engine:
         return df
 
     def query(self, table: str, query, role: str | None = None, claims: dict | None = None) -> tuple[list[dict], str]:
-        df = self.plan(table, query, role, claims)
-        seconds = policy.grant(self.settings.policy, table, role, "select", claims or {}).cap("max_execution_time") / 1000
-        text = df._jdf.queryExecution().analyzed().canonicalized().toString()
-        k = caching.key(self.tenant, text, [role])
-        return self.cache.through(k, self.versions.snapshot(self.tenant, [(table, "")]), lambda: self.rows(df, seconds))
+        """The key has all that decides the rows: table, query, the grant with every bound value, the time range's ends and the limits."""
+        q, now = query if isinstance(query, ast.StructuredQuery) else ast.decode(query), self.now()
+        df = self.plan(table, q, role, claims, now)
+        grant = policy.grant(self.settings.policy, table, role, "select", claims or {})
+        default, bucket = self.limits()
+        ends = [timestamps.bound(x, now, bucket).isoformat() if q.time_range.column and q.time_range.since and x else "" for x in (q.time_range.since, q.time_range.until)]
+        k = caching.key(self.tenant, "structured", [table, repr(q), repr(grant), ends, builder.row_limit(q, grant, default), self.catalog.lookup(table).names])
+        return self.cache.through(k, self.versions.snapshot(self.tenant, [(table, "")]), lambda: self.rows(df, grant.cap("max_execution_time") / 1000))
 
     def rows(self, df: DataFrame, seconds: float = 0) -> list[dict]:
         tag, sc, done = f"limit-{uuid.uuid4().hex}", self.spark.sparkContext, threading.Event()
@@ -79,14 +97,22 @@ class Engine:
 
     # --- SQL ---
     def sql(self, text: str) -> DataFrame:
-        """Verbatim, over the tenant's tables as views."""
-        for name, t in self.catalog.tables.items():
-            if name.isidentifier():
-                t.load().createOrReplaceTempView(name)
-        try:
-            return self.spark.sql(shims.rewrite(text))
-        except Exception as e:
-            raise from_spark(e) from e
+        """Verbatim, over those of the tenant's tables that the text names."""
+        named = self.named(text)
+        with ANALYSIS:
+            try:
+                for name in named:
+                    self.catalog.tables[name].load().createOrReplaceTempView(name)
+                return self.spark.sql(shims.rewrite(text))
+            except Exception as e:
+                raise from_spark(e) from e
+            finally:
+                for name in named:
+                    self.spark.catalog.dropTempView(name)
+
+    def named(self, text: str) -> list[str]:
+        words = {w.casefold() for w in re.findall(r"\w+", text)}
+        return sorted(n for n in self.catalog.tables if n.isidentifier() and n.casefold() in words)
 
     def raw_sql(self, text: str, role: str | None) -> DataFrame:
         if not self.settings.policy.is_admin(role):
@@ -96,6 +122,26 @@ class Engine:
         return self.sql(text)
 
     def pipe(self, name: str, supplied: dict | None = None, role: str | None = None, claims: dict | None = None) -> DataFrame:
+        text, _ = self.bound(name, supplied, role, claims)
+        return self.spark.createDataFrame([], "empty string") if text is None else self.sql(text)
+
+    def pipe_rows(self, name: str, supplied: dict | None = None, role: str | None = None, claims: dict | None = None) -> tuple[list[dict], str]:
+        """Reads go through the cache, keyed on the bound text; a write runs every time, and what it names is out of date."""
+        text, write = self.bound(name, supplied, role, claims)
+        if text is None:
+            return [], "MISS"
+        named = self.named(text)
+        if write:
+            try:
+                return self.rows(self.sql(text)), "MISS"
+            finally:
+                for table in named:
+                    self.inserted(table)
+        deps = [(table, "") for table in named]
+        return self.cache.through(caching.key(self.tenant, "pipe", [text]), self.versions.snapshot(self.tenant, deps), lambda: self.rows(self.sql(text)))
+
+    def bound(self, name: str, supplied: dict | None, role: str | None, claims: dict | None) -> tuple[str | None, bool]:
+        """The statement (None: a read whose claim can't be bound, which has no rows), and whether it writes."""
         p = self.settings.pipes.get(name)
         if p is None:
             raise NotFound(f"unknown pipe {name!r}")
@@ -107,8 +153,18 @@ class Engine:
         except pipes.UnresolvedClaim as e:
             if write:
                 raise Forbidden(str(e)) from None
-            return self.spark.createDataFrame([], "empty string")
-        return self.sql(text)
+            return None, write
+        return text, write
+
+    # --- streams ---
+    def subscribe(self, table: str, role: str | None = None, claims: dict | None = None, size: int = 64, log: str | None = None, since=None) -> fanout.Subscriber:
+        """A subscriber whose policy is read anew at each batch; with a log, it first gets the events since then."""
+        found = self.catalog.lookup(table)
+        s = fanout.Subscriber(lambda: policy.grant(self.settings.policy, table, role, "select", claims or {}), size)
+        s.current()  # denied now is denied at once
+        if log is not None:
+            fanout.broadcast(eventlog.replay(self.spark, log, self.tenant, table, since), found, [s])
+        return s
 
     # --- ingest ---
     def ingest(self, table: str, body: str, content_type: str = "application/json", role: str | None = None, claims: dict | None = None) -> DataFrame:

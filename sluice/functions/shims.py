@@ -1,31 +1,28 @@
-"""Functions of the other dialect that pipes use, as session functions."""
+"""Functions of the other dialect that pipes use, as Spark's own."""
 
 from __future__ import annotations
 
 import re
 
-#: Name, signature and body.
-FUNCTIONS = (
-    ("toDate", "x TIMESTAMP", "DATE", "to_date(x)"),
-    ("now64", "p INT DEFAULT 3", "TIMESTAMP", "current_timestamp()"),
-    ("has", "a ARRAY<STRING>, v STRING", "BOOLEAN", "array_contains(a, v)"),
-    ("timezone", "", "STRING", "current_timezone()"),
-)
-COUNT = re.compile(r"\bcount\(\s*\)", re.I)
-
+from sluice.sqlscan import opaque
 
-def install(spark) -> None:
-    for name, args, out, body in FUNCTIONS:
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {out} RETURN {body}")
+#: A call in the other dialect (patterns on code, quotes and comments left out) and Spark's.
+CALLS = (
+    (r"(?i:\bcount)\(\s*\)", "count(*)"),
+    (r"\buniqExact\(", "count(DISTINCT "),
+    (r"\btoDate\(", "to_date("),
+    (r"\bnow64\(\s*[0-9]*\s*\)", "current_timestamp()"),
+    (r"\bhas\(", "array_contains("),
+    (r"\btimezone\(\s*\)", "current_timezone()"),
+)
 
 
 def rewrite(sql: str) -> str:
-    """count() means count(*); Spark's own reading of it is another.  uniqExact is a distinct count."""
-    from sluice.sqlscan import opaque
-
     out, at = [], 0
     for a, z in [*opaque(sql), (len(sql), len(sql))]:
-        code = COUNT.sub("count(*)", sql[at:a])
-        out += [re.sub(r"\buniqExact\(", "count(DISTINCT ", code), sql[a:z]]
+        code = sql[at:a]
+        for pattern, own in CALLS:
+            code = re.sub(pattern, own, code)
+        out += [code, sql[a:z]]
         at = z
     return "".join(out)

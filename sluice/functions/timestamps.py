@@ -57,24 +57,38 @@ def show(ts: Column, precision: int = 6) -> Column:
     return F.concat(F.regexp_replace(text, r"\.?0+$", "") if precision else text, F.lit("Z"))
 
 
-def parse_column(text: Column, of: ColumnType) -> Column:
-    """A payload's time text as a timestamp, null if it isn't one: RFC 3339, zone-less text in the column's zone, unix digits."""
+def from_number(text: Column, of: ColumnType) -> Column:
+    """An integer JSON number: seconds, or for a type with a scale ticks of that scale; null for any other number."""
+    n = F.when(text.rlike(r"^[0-9]{1,19}$"), text.try_cast("decimal(38,0)"))
+    p = of.precision or 0
+    micros = n * 1_000_000 if "64" not in of.name else n * 10 ** (6 - p) if p <= 6 else F.floor(n / 10 ** (p - 6))
+    return F.when(micros < 10**18, F.timestamp_micros(micros.cast("long")))
+
+
+def parse_column(text: Column, of: ColumnType, number: Column | None = None) -> Column:
+    """A payload's time as a timestamp, null if it isn't one: RFC 3339, zone-less text in the column's zone, unix digits.
+
+    number: whether the payload was a JSON number, which is read otherwise than a text of the same digits.
+    """
     p = of.precision or 0
     zone = of.zone or "UTC"
     with_zone = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"), F.try_to_timestamp(F.regexp_replace(text, r"(\.\d{6})\d+", "$1")))
     plain = F.regexp_replace(F.regexp_replace(text, "T", " "), r"(\.\d{6})\d+", "$1")
     local = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}:\d{2}(\.\d+)?)?$"), F.to_utc_timestamp(F.try_to_timestamp(plain), zone))
-    fraction = r"(\.\d+)?" if p else ""
+    fraction = r"(\.\d+)?" if "64" in of.name else ""
     seconds = F.when(text.rlike(rf"^\d{{9,10}}{fraction}$"), F.timestamp_micros((text.try_cast("decimal(20,6)") * 1_000_000).cast("long")))
     at = F.coalesce(with_zone, local, seconds)
+    if number is not None:
+        at = F.when(number, from_number(text, of)).otherwise(at)
+    #: The ranges of the types.
     low, high = ("1970-01-01", "2106-02-06") if p == 0 and not of.name.count("64") else ("1900-01-02", "2262-04-10" if p >= 7 else "2299-12-30")
     return F.when((at >= F.lit(low).cast("timestamp")) & (at <= F.lit(high).cast("timestamp")), at)
 
 
-def canonical_column(text: Column, of: ColumnType) -> Column:
+def canonical_column(text: Column, of: ColumnType, number: Column | None = None) -> Column:
     """Canonical spelling truncated to the column's precision, or the text as it came."""
     p = min(of.precision or 0, 6)
-    at = parse_column(text, of)
+    at = parse_column(text, of, number)
     step = 10 ** (6 - p)
     cut = F.timestamp_micros(F.floor(F.unix_micros(at) / step).cast("long") * step) if p < 6 else at
     return F.coalesce(show(cut, p), text)

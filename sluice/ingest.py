@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.catalog import Table
@@ -26,9 +26,8 @@ class Dedupe:
     require_id: bool = False
 
 
-def kind(v: Column) -> Column:
-    """JSON kind of a variant."""
-    t = F.schema_of_variant(v)
+def kind(t: Column) -> Column:
+    """JSON kind of a variant, from its type's text."""
     return F.when(t.isNull() | t.isin("VOID"), "null").when(t == "STRING", "string").when(t == "BOOLEAN", "bool").when(t.startswith("ARRAY"), "array").when(t.startswith("OBJECT"), "object").otherwise("number")
 
 
@@ -59,9 +58,12 @@ def prepare(records: DataFrame, table: Table, grant: WriteGrant, dedupe: Dedupe
     checks = grant.checks(table)
     good = F.col("error").isNull()
     df = once(records, {"_v": F.when(good, F.try_parse_json("raw")), "_map": F.when(good, F.from_json(quoted_numbers(F.col("raw")), "map<string,string>")), "_plain": F.when(good, F.from_json("raw", "map<string,string>"))})
-    df = once(df, {f"_t{k}": field(c.name) for k, c in enumerate(table.insertable)} | {f"_k{k}": kind(F.try_variant_get("_v", "$['" + c.name.replace("'", "\\'") + "']", "variant")) for k, c in enumerate(table.insertable)})
+    typed_ = [k for k, c in enumerate(table.insertable) if c.type.json or c.type.kind == "time"]  # of others the kind decides nothing
+    member = lambda c: F.try_variant_get("_v", "$['" + c.name.replace("'", "\\'") + "']", "variant")
+    df = once(df, {f"_t{k}": field(c.name) for k, c in enumerate(table.insertable)} | {f"_k{k}": F.schema_of_variant(member(table.insertable[k])) for k in typed_})
+    df = df.drop("_v", "_plain") if not dedupe.id_field or dedupe.id_field in [c.name for c in table.insertable] else df
     texts = {c.name: F.col(f"_t{k}") for k, c in enumerate(table.insertable)}
-    kinds = {c.name: F.col(f"_k{k}") for k, c in enumerate(table.insertable)}
+    kinds = {table.insertable[k].name: kind(F.col(f"_k{k}")) for k in typed_}
     df = df.withColumn("_keys", F.coalesce(F.map_keys("_map"), F.array().cast("array<string>")))
     faults = [(F.col("error").isNotNull(), F.col("error"))]
     unknown = F.array_except("_keys", F.array(*(F.lit(c) for c in table.names)))
@@ -71,7 +73,7 @@ def prepare(records: DataFrame, table: Table, grant: WriteGrant, dedupe: Dedupe
         if not c.insertable:
             faults.append((has, f"computed column {c.name}"))
             continue
-        if c.required and c.name not in checks:
+        if c.required:  # validated before checks, which inject only what may be absent
             faults.append((~has, f"missing required column {c.name}"))
         if not c.type.nullable and c.default_kind == "":
             faults.append((has & texts[c.name].isNull(), f"null in column {c.name}"))
@@ -92,17 +94,17 @@ def prepare(records: DataFrame, table: Table, grant: WriteGrant, dedupe: Dedupe
             stored[name] = F.when(has, text).otherwise(F.lit(values[0]))
     for c in table.insertable:
         if c.type.kind == "time":
-            stored[c.name] = timestamps.canonical_column(stored[c.name], c.type)
+            stored[c.name] = timestamps.canonical_column(stored[c.name], c.type, kinds[c.name] == "number")
     rid = (texts[dedupe.id_field] if dedupe.id_field in texts else field(dedupe.id_field)) if dedupe.id_field else F.lit(None).cast("string")
     if dedupe.id_field and dedupe.require_id:
         faults.append((rid.isNull(), f"missing id {dedupe.id_field}"))
     out = once(df, {"reason": first(*faults), "id": rid} | {f"c_{n}": v for n, v in stored.items()}, ["index"])
     if dedupe.id_field:
-        # rows without an id, or at fault, are each a group of their own: no union, one read
         good = F.col("reason").isNull() & F.col("id").isNotNull()
-        alone = F.when(~good, F.col("index"))
-        earlier = F.row_number().over(Window.partitionBy("id", alone).orderBy(good.desc(), "index")) > 1
-        out = out.withColumn("status", F.when(F.col("reason").isNotNull(), "error").when(good & earlier, "duplicate").otherwise("ok"))
+        # the first row of each id, by an aggregate that is partial in every task: a frequent id is no hot task
+        firsts = out.filter(good).groupBy("id").agg(F.min("index").alias("_first"))
+        out = out.join(firsts.withColumnRenamed("id", "_id"), good & (F.col("id") == F.col("_id")), "left")
+        out = out.withColumn("status", F.when(F.col("reason").isNotNull(), "error").when(good & (F.col("index") > F.col("_first")), "duplicate").otherwise("ok"))
     else:
         out = out.withColumn("status", F.when(F.col("reason").isNull(), "ok").otherwise("error"))
     return out.select("index", "status", "reason", "id", *(F.col(f"`c_{n}`").alias(n) if n not in ("index", "status", "reason", "id") else F.col(f"`c_{n}`").alias(f"c_{n}") for n in stored))
@@ -114,10 +116,28 @@ def against_seen(prepared: DataFrame, seen: DataFrame, now: Column) -> DataFrame
     return prepared.join(live, "id", "left").withColumn("status", F.when(F.col("_seen") & (F.col("status") == "ok"), "duplicate").otherwise(F.col("status"))).drop("_seen")
 
 
+def remember(prepared: DataFrame, path: str, retention_seconds: int = 0) -> None:
+    """Add the ids that were stored to the seen table; without a retention they never expire."""
+    until = F.current_timestamp() + F.make_dt_interval(secs=F.lit(retention_seconds)) if retention_seconds > 0 else F.lit(None).cast("timestamp")
+    prepared.filter((F.col("status") == "ok") & F.col("id").isNotNull()).select("id", until.alias("expires_at")).write.mode("append").parquet(path)
+
+
+def purge_seen(seen: DataFrame, now: Column) -> DataFrame:
+    """What a sweep of the seen table keeps: one row for each id that still counts."""
+    live = seen.filter(F.col("expires_at").isNull() | (F.col("expires_at") > now))
+    never = F.bool_or(F.col("expires_at").isNull())
+    return live.groupBy("id").agg(F.max("expires_at").alias("last"), never.alias("never")).select("id", F.when(~F.col("never"), F.col("last")).alias("expires_at"))
+
+
 def outcomes(prepared: DataFrame) -> DataFrame:
     return prepared.select("index", "status", "reason")
 
 
+def response(prepared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a caller gets: the first MAX_RESULTS outcomes in order, and the totals of all."""
+    return outcomes(prepared).orderBy("index").limit(MAX_RESULTS), totals(prepared)
+
+
 def totals(prepared: DataFrame) -> DataFrame:
     return prepared.groupBy("status").agg(F.count("*").alias("n"))
 

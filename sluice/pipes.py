@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
 from sluice import policy, sqlscan
 from sluice.errors import Invalid
 
+#: The grammar of placeholders and of numeric texts.
 PARAM = r"\{\{(?P<name>\w+)(?::(?P<default>[^}]*))?\}\}"
-PLACE = re.compile(rf"{policy.CLAIM.pattern}|{PARAM}")
-ATTEMPT = re.compile(r"\{\{\s*[\w.]")
-NUMERIC = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?")
+PLACE = re.compile(rf"{policy.CLAIM.pattern}|{PARAM}", re.ASCII)
+ATTEMPT = re.compile(r"\{\{\s*[\w.]", re.ASCII)
+NUMERIC = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", re.ASCII)
 RESERVED = "jwt"
 
 
@@ -56,12 +58,19 @@ def literal(value) -> str:
     if isinstance(value, str):
         return bare(value.removeprefix("+")) if NUMERIC.fullmatch(value) else quote(value)
     if isinstance(value, (int, float)):
-        return bare(str(int(value)) if float(value).is_integer() else format(value, "g"))
+        if isinstance(value, float) and not math.isfinite(value):
+            raise Invalid("a number parameter must be finite")
+        return bare(str(value) if isinstance(value, int) else str(int(value)) if value.is_integer() else repr(value))
     if isinstance(value, list) and value:
         return "(" + ", ".join(map(literal, value)) + ")"
     raise Invalid("an array parameter must not be empty" if value == [] else f"unsupported parameter {type(value).__name__}")
 
 
+def parameters(query_string: dict, body: dict | None) -> dict:
+    """What a call supplies: the body's over the query string's."""
+    return {**query_string, **(body or {})}
+
+
 def claims_used(pipe: Pipe) -> list[str]:
     return list(dict.fromkeys(m[1] for m in PLACE.finditer(pipe.sql) if m[1]))
 

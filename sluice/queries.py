@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections import Counter
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -34,6 +36,7 @@ POLICY = policy.Policy(
             "neq": {"select": policy.Select(filter={"event_type": {"_neq": "click"}})},
             "gt": {"select": policy.Select(filter={"value": {"_gt": "100.5"}})},
             "lt": {"select": policy.Select(filter={"user_id": {"_lt": "{{ jwt.top }}"}})},
+            "stamper": {"insert": policy.Insert(check={"source": {"_eq": "{{ jwt.type }}"}})},
             "writer": {"insert": policy.Insert(allow=("event_id", "ts", "user_id", "event_type", "value"), check={"user_id": {"_eq": "{{ jwt.user }}"}, "event_type": {"_in": ["click", "view", "purchase"]}})},
         }
     }
@@ -45,6 +48,8 @@ PIPES = {
         pipes.Pipe("by_type", "SELECT event_id, value FROM events WHERE event_type = {{type}} AND value > {{least:100}}", (pipes.Parameter("type", required=True),), allowed_roles=("viewer",)),
         pipes.Pipe("types", "SELECT event_type, count() AS n FROM events WHERE event_type IN {{types}} GROUP BY event_type", (pipes.Parameter("types", "array"),), allowed_roles=("viewer",)),
         pipes.Pipe("mine", "SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey IN {{ jwt.users }} GROUP BY o_custkey", allowed_roles=("viewer",)),
+        pipes.Pipe("above", "SELECT event_id FROM events WHERE value * 10000 > {{least}}", (pipes.Parameter("least", "number"),), allowed_roles=("viewer",)),
+        pipes.Pipe("dialect", "SELECT event_id, has(array('click', 'view'), event_type) AS seen, cast(toDate(ts) AS string) AS day, timezone() AS zone FROM events WHERE ts < now64(3)", allowed_roles=("viewer",)),
         pipes.Pipe("days", "SELECT cast(to_date(ts) AS string) AS day, count(*) AS n, uniqExact(user_id) AS users FROM events WHERE value >= {{least:0}} GROUP BY to_date(ts)", allowed_roles=("viewer",)),
     )
 }
@@ -166,15 +171,32 @@ piped("pipe_array_in", "types", {"types": ["click", "view"]}, "SELECT event_type
 piped("pipe_claim_set", "mine", {}, "SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey IN (1, 2, 3, 50) GROUP BY o_custkey")
 piped("pipe_date_totals", "days", {"least": "10"}, "SELECT cast(cast(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE value >= 10 GROUP BY ALL")
 
+piped("pipe_float", "above", {"least": 1234567.5}, "SELECT event_id FROM events WHERE value * 10000 > 1234567.5")
+piped("pipe_dialect", "dialect", {}, "SELECT event_id, event_type IN ('click', 'view') AS seen, strftime(ts, '%Y-%m-%d') AS day, 'UTC' AS zone FROM events")
+
+# --- the result cache: a second caller whose values differ late in a long list ---
+def cached(name: str, user: int) -> None:
+    def run(spark, sf):
+        e, q = engine(spark, sf), {"aggregations": [{"function": "count", "alias": "n"}]}
+        for last in (3 - user, user):
+            rows, _ = e.query("events", q, "viewer", {"users": [*range(1000, 1040), last]})
+        return spark.createDataFrame(rows, "n long")
+
+    add(name, f"SELECT count(*) AS n FROM events WHERE user_id = {user}", run)
+
+
+cached("cache_claims_a", 1)
+cached("cache_claims_b", 2)
+
 # --- SQL ---
 said("sql_join_inner", "SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 said("sql_join_left", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 said("sql_join_right", "SELECT n_name, count(s_suppkey) AS n FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")
 said("sql_join_full", "SELECT coalesce(c_custkey, user_id) AS k, count(event_id) AS n FROM customer FULL JOIN events ON c_custkey = user_id GROUP BY coalesce(c_custkey, user_id)")
 said("sql_semi", "SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON o_custkey = c_custkey AND o_totalprice > 200000", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
-said("sql_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+said("sql_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
 said("sql_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
-said("sql_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+said("sql_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey > b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 said("sql_asof", "SELECT event_id, prev FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'purchase' THEN event_id END) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM events) WHERE event_type = 'click'", "SELECT event_id, prev FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM events) WHERE event_type = 'click'")
 said("sql_interval_join", "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR AND a.event_type = 'click' AND b.event_type = 'purchase'")
 said("sql_window_rank", "SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER w AS r, dense_rank() OVER w AS d, ntile(4) OVER w AS q, round(percent_rank() OVER w, 6) AS p, round(cume_dist() OVER w, 6) AS c FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)", "SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER w AS r, dense_rank() OVER w AS d, ntile(4) OVER w AS q, round(round(percent_rank() OVER w, 6), 4) AS p, round(round(cume_dist() OVER w, 6), 4) AS c FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)")
@@ -183,7 +205,7 @@ said("sql_window_frame", "SELECT event_id, count(*) OVER (PARTITION BY user_id O
 said("sql_union", "SELECT n_name AS x FROM nation UNION SELECT r_name FROM region")
 said("sql_union_all", "SELECT s_nationkey AS x FROM supplier UNION ALL SELECT c_nationkey FROM customer")
 said("sql_intersect", "SELECT user_id AS x FROM events INTERSECT SELECT c_custkey FROM customer")
-said("sql_except", "SELECT c_custkey AS x FROM customer EXCEPT SELECT o_custkey FROM orders")
+said("sql_except", "SELECT c_custkey AS x FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 250000")
 said("sql_cte", "WITH t AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), m AS (SELECT max(n) AS m FROM t) SELECT user_id, n FROM t JOIN m ON n = m")
 said("sql_recursive", "WITH RECURSIVE t(x) AS (SELECT 1 UNION ALL SELECT x + 1 FROM t WHERE x < 40) SELECT count(*) AS n FROM t JOIN events ON user_id = x")
 said("sql_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
@@ -214,17 +236,25 @@ def prepared(spark: SparkSession, sf: str, role: str = "admin", dedupe: ingest.D
 REASON = "CASE event_id % 10 WHEN 7 THEN 'invalid json' WHEN 8 THEN 'invalid json' WHEN 4 THEN 'unknown column nosuch' WHEN 1 THEN 'missing required column user_id' WHEN 2 THEN 'null in column user_id' WHEN 3 THEN 'wrong type for column user_id' WHEN 5 THEN 'computed column doubled' END"
 add("ingest_outcomes", f"SELECT event_id AS index, CASE WHEN {REASON} IS NULL THEN 'ok' ELSE 'error' END AS status, {REASON} AS reason FROM events", lambda spark, sf: ingest.outcomes(prepared(spark, sf)))
 add("ingest_totals", f"SELECT CASE WHEN {REASON} IS NULL THEN 'ok' ELSE 'error' END AS status, count(*) AS n FROM events GROUP BY 1", lambda spark, sf: ingest.totals(prepared(spark, sf)))
-CHECKED = f"CASE WHEN event_id % 10 IN (7, 8, 4, 2, 3, 5) THEN {REASON} WHEN event_id % 10 = 6 THEN 'column not allowed props' WHEN event_id % 10 <> 1 AND user_id <> 7 THEN 'check failed for column user_id' WHEN event_type NOT IN ('click', 'view', 'purchase') THEN 'check failed for column event_type' END"
+CHECKED = f"CASE WHEN event_id % 10 IN (7, 8, 4, 1, 2, 3, 5) THEN {REASON} WHEN event_id % 10 = 6 THEN 'column not allowed props' WHEN user_id <> 7 THEN 'check failed for column user_id' WHEN event_type NOT IN ('click', 'view', 'purchase') THEN 'check failed for column event_type' END"
 add("ingest_checks", f"SELECT event_id AS index, {CHECKED} AS reason FROM events", lambda spark, sf: prepared(spark, sf, "writer").select("index", "reason"))
-add("ingest_auto_inject", f"SELECT event_id AS index, CASE WHEN event_id % 10 = 1 THEN '7' ELSE cast(user_id AS VARCHAR) END AS user_id FROM events WHERE {CHECKED} IS NULL", lambda spark, sf: prepared(spark, sf, "writer").filter("reason IS NULL").select("index", "user_id"))
+add("ingest_auto_inject", f"SELECT event_id AS index, 'purchase' AS source FROM events WHERE {REASON} IS NULL", lambda spark, sf: prepared(spark, sf, "stamper").filter("reason IS NULL").select("index", "source"))
 add("ingest_ts_canonical", f"SELECT event_id AS index, '2024-01-05T10:00:00.5Z' AS ts FROM events WHERE {REASON} IS NULL", lambda spark, sf: prepared(spark, sf).filter("reason IS NULL").select("index", "ts"))
 add("ingest_dedupe", f"SELECT index, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY index) > 1 THEN 'duplicate' ELSE 'ok' END AS status FROM (SELECT event_id AS index, user_id FROM events WHERE {REASON} IS NULL)", lambda spark, sf: prepared(spark, sf, dedupe=ingest.Dedupe("user_id")).filter("reason IS NULL").select("index", "status"))
 add("ingest_dedupe_missing_id", f"SELECT event_id AS index, CASE WHEN {REASON} IS NOT NULL THEN {REASON} WHEN event_id % 10 <> 6 THEN 'missing id props' END AS reason FROM events", lambda spark, sf: prepared(spark, sf, dedupe=ingest.Dedupe("props", True)).select("index", "reason"))
 add("ingest_seen", f"SELECT event_id AS index, CASE WHEN {REASON} IS NOT NULL THEN 'error' WHEN user_id < 30 THEN 'duplicate' WHEN row_number() OVER (PARTITION BY {REASON} IS NULL, user_id ORDER BY event_id) > 1 THEN 'duplicate' ELSE 'ok' END AS status FROM events", lambda spark, sf: ingest.against_seen(prepared(spark, sf, dedupe=ingest.Dedupe("user_id")), spark.range(60).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") < 15, F.lit(None)).when(F.col("id") < 30, F.lit("2030-01-01")).otherwise(F.lit("2020-01-01")).cast("timestamp").alias("expires_at")), F.lit("2024-01-31").cast("timestamp")).select("index", "status"))
+add("ingest_ticks", "SELECT event_id AS index, strftime(TIMESTAMP '2024-01-05 10:00:00' + to_seconds(event_id), '%Y-%m-%dT%H:%M:%SZ') AS ts FROM events", lambda spark, sf: _lines(spark, sf, F.format_string('{"event_id":%d,"user_id":1,"ts":%d,"event_type":"a","value":1}', "event_id", F.col("event_id") * 1_000_000 + 1704448800000000)).select("index", "ts"))
+add("ingest_twin_keys", "SELECT event_id AS index, 'ok' AS status, event_type FROM events", lambda spark, sf: _lines(spark, sf, F.format_string('{"event_type":"first","event_id":%d,"user_id":1,"ts":"2024-01-05","value":1,"event_type":"%s"}', "event_id", "event_type")).select("index", "status", "event_type"))
 add("ingest_array_index", "SELECT x AS index, CASE WHEN x = 2 THEN 'record must be a JSON object' END AS error FROM (VALUES (1), (2), (3)) t(x)", lambda spark, sf: readers.body(spark, '[{"a":1}, 5, {"b":[1,2]}]').select(F.col("index").cast("int").alias("index"), "error"))
 add("ingest_computed_columns", f"SELECT event_id, user_id, round(value * 2, 4) AS doubled, 'web' AS source, event_type || '!' AS shown FROM events WHERE {REASON} IS NULL", lambda spark, sf: _stored(spark, sf))
 
 
+def _lines(spark: SparkSession, sf: str, line) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    lines = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("i"), line.alias("value"))
+    return ingest.prepare(readers.ndjson(lines, "value", "i"), event_table(spark, sf), policy.grant(POLICY, "events", "admin", "insert", CLAIMS))
+
+
 def _stored(spark: SparkSession, sf: str) -> DataFrame:
     t = event_table(spark, sf)
     good, _ = ingest.typed(prepared(spark, sf).filter("status = 'ok'"), t)
@@ -243,11 +273,18 @@ def log(spark: SparkSession, sf: str) -> DataFrame:
 
 CLEAN = "event_id % 200 NOT IN (50, 100, 150)"
 add("log_poison", "SELECT CASE event_id % 200 WHEN 50 THEN 'unknown_format' WHEN 100 THEN 'unpairable' ELSE 'malformed' END AS reason, count(*) AS n FROM events WHERE event_id % 200 IN (50, 100, 150) GROUP BY 1", lambda spark, sf: (lambda e: e.withColumn("reason", eventlog.poison()).filter("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n")))(log(spark, sf)))
-add("log_replay_since", "SELECT event_id AS seq FROM events WHERE ts >= TIMESTAMP '2024-01-25 06:00:00'", lambda spark, sf: log(spark, sf).filter(F.col("received_timestamp") >= F.lit("2024-01-25 06:00:00").cast("timestamp")).select("seq"))
+add("log_replay_since", "SELECT event_id AS seq FROM events WHERE ts >= TIMESTAMP '2024-01-25 06:00:00'", lambda spark, sf: eventlog.replay(spark, _published(spark, sf), "0", "events", datetime(2024, 1, 25, 6, tzinfo=UTC)).select("seq"))
 add("log_retention", "SELECT event_id AS seq FROM events WHERE event_id >= least(401, (SELECT min(event_id) FROM events WHERE ts >= TIMESTAMP '2024-01-20'))", lambda spark, sf: eventlog.retained(log(spark, sf), 400, F.lit("2024-01-20").cast("timestamp")).select("seq"))
 add("log_dlq_counts", f"SELECT 'events' AS \"table\", count(*) AS n FROM events WHERE {CLEAN} AND event_id % 9 = 0", lambda spark, sf: _dead(spark, sf))
 
 
+def _published(spark: SparkSession, sf: str) -> str:
+    """The log written to a folder that all executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    eventlog.publish(log(spark, sf), path := f"{shared.rstrip('/')}/sluice-log-{uuid.uuid4().hex}")
+    return path
+
+
 def _dead(spark: SparkSession, sf: str) -> DataFrame:
     t = event_table(spark, sf)
     rows = eventlog.decode(log(spark, sf), t).withColumn("value", F.when(F.col("event_id").cast("long") % 9 == 0, "not a number").otherwise(F.col("value")))
@@ -264,6 +301,18 @@ for role, where in (("viewer", "user_id IN (1, 2, 3, 50)"), ("eq", "event_type =
     add(f"stream_rowfilter_{role}", f"SELECT event_id AS seq FROM events WHERE {CLEAN} AND {where}", lambda spark, sf, role=role: seen_by(spark, sf, role).select("seq"))
 add("stream_withheld", f"SELECT count(*) AS withheld FROM events WHERE {CLEAN} AND event_type = 'click'", lambda spark, sf: (lambda t: fanout.withheld(eventlog.decode(log(spark, sf), t), t, policy.grant(POLICY, "events", "neq", "select", CLAIMS)))(event_table(spark, sf)))
 add("stream_schema_frames", f"SELECT min(event_id) AS seq FROM events WHERE {CLEAN}", lambda spark, sf: (lambda t: fanout.schema_frames(eventlog.decode(log(spark, sf), t), policy.grant(POLICY, "events", "narrow", "select", CLAIMS)).select("seq"))(event_table(spark, sf)))
+def _batches(spark: SparkSession, sf: str, *parts: str) -> list:
+    """What one subscriber gets of several batches."""
+    got, s = [], fanout.Subscriber(policy.grant(POLICY, "events", "lt", "select", CLAIMS), 10_000)
+    for part in parts:
+        fanout.broadcast(log(spark, sf).filter(part), event_table(spark, sf), [s])
+        got += s.queue
+        s.queue.clear()
+    return got
+
+
+add("stream_two_batches", f"SELECT 'schema' AS event, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'message', count(*) FROM events WHERE {CLEAN} AND user_id < 20 AND event_id <= 9000", lambda spark, sf: spark.createDataFrame(sorted(Counter(f.event for f in _batches(spark, sf, "seq <= 4000", "seq > 4000 AND seq <= 9000")).items()), "event string, n long"))
+add("stream_resume", f"SELECT event_id AS seq FROM events WHERE {CLEAN} AND user_id < 20 AND event_id > 2000 AND event_id <= 9000", lambda spark, sf: spark.createDataFrame([(f.seq,) for f in _batches(spark, sf, "seq > 2000 AND seq <= 6000", "seq > 3000 AND seq <= 9000") if f.event == "message"], "seq long"))
 add("stream_live_query", f"SELECT event_id AS seq FROM events WHERE {CLEAN}", lambda spark, sf: (lambda r: fanout.live_query(r.filter("received_timestamp < timestamp'2024-01-15'"), r.filter("received_timestamp > timestamp'2024-01-10'")).select("seq"))(eventlog.decode(log(spark, sf), event_table(spark, sf))))
 
 # --- kernels ---

@@ -83,7 +83,6 @@ def write_streams(df: DataFrame, path: str, folder: str, length: int = 2048, row
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    @task
     def write(batches):
         from pyspark import TaskContext
 
@@ -108,7 +107,7 @@ def write_streams(df: DataFrame, path: str, folder: str, length: int = 2048, row
             yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "ids_file": f"{name}.arrow", "docs_file": f"{name}.docs.arrow", "n_docs": n_docs, "n_ids": at, "offsets": out.offsets}], schema=pa.schema([("part", pa.int32()), ("ids_file", pa.string()), ("docs_file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("offsets", pa.list_(pa.int64()))]))
 
     dealt = ids_and_texts(df, id_col, text_col).repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    manifest = staged(dealt.mapInArrow(write, MANIFEST), "manifest")
+    manifest = staged(dealt.mapInArrow(task(write, reuse=True), MANIFEST), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task, no more
     return manifest.withColumn("first_id", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 

@@ -82,15 +82,20 @@ def tidy() -> None:
         pass
 
 
-def task(run):
-    """``run`` for mapInArrow, with others' models dropped first; at the end its own and its buffers go, so that idle workers hold nothing."""
+def task(run, reuse: bool = False):
+    """``run`` for mapInArrow, with others' models dropped first; at the end its own and its buffers go, so that idle workers hold nothing.
+
+    reuse: models stay for the worker's next task (speed against memory).
+    """
 
     def alone(batches):
-        drop_models()
+        if not reuse:
+            drop_models()
         try:
             yield from run(batches)
         finally:
-            drop_models()
+            if not reuse:
+                drop_models()
             tidy()
 
     return alone

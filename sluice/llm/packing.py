@@ -141,14 +141,14 @@ class Packer:
         self.fill(0)
 
 
-def pack(df: DataFrame, path: str, size: int = 2048, end_id: int = 1, window: int = 4096, keep: int = 600_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(df: DataFrame, path: str, size: int = 2048, end_id: int = 1, window: int = 4096, keep: int = 600_000, reuse: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece: id, start and length in the document, ids_crc32, doc_tokens, sequence_id, offset in the sequence.
 
-    size must be a power of two; keep bounds the pre-tokens that a worker remembers (memory against speed).
+    size must be a power of two; keep bounds the pre-tokens that a worker remembers, reuse lets it do so
+    from one task to the next (memory against speed).
     """
     kind = sql_type(df, id_col)
 
-    @task
     def run(batches):
         from pyspark import TaskContext
 
@@ -171,7 +171,7 @@ def pack(df: DataFrame, path: str, size: int = 2048, end_id: int = 1, window: in
             if packer.rows:
                 yield out()
 
-    return ids_and_texts(df, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ids_and_texts(df, id_col, text_col).mapInArrow(task(run, reuse), f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op1_packing(spark, sf_dir):

@@ -31,7 +31,7 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), keep=120_000)
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), keep=120_000, reuse=False)
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("passage_dedup", passage_dedup), ("packing", pack_sequences)]

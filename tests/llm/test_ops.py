@@ -224,6 +224,80 @@ def test_flac_blocks(spark, sf, docs):
         assert bytes(b ^ 128 for b in got[i]) == flac.padded((x or "").encode())
 
 
+def test_digests_step_by_step(docs):
+    """Digests and likeness, one window and one bucket at a time."""
+
+    def digest(raw):
+        raw = raw.ljust(5, b"\0")
+        counts = [0] * 256
+        for end in range(4, len(raw)):
+            for salt, places in enumerate([(0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 2, 4), (0, 1, 4), (0, 3, 4)], 1):
+                x = sum(raw[end - p] << 8 * k for k, p in enumerate(places)) + (salt << 24)
+                x = x * 0x9E3779B1 % 2**32
+                x ^= x >> 15
+                counts[x * 0x85EBCA77 % 2**32 >> 24] += 1
+        q1, q2, q3 = (sorted(counts)[k] for k in (63, 127, 191))
+        codes = [(c > q1) + (c > q2) + (c > q3) for c in counts]
+        return codes, (q1 * 63 // max(q3, 1), q2 * 63 // max(q3, 1))
+
+    def packed(codes):
+        return bytes(codes[k] << 6 | codes[k + 1] << 4 | codes[k + 2] << 2 | codes[k + 3] for k in range(0, 256, 4))
+
+    texts = [x.encode() for x in docs.values() if x and len(x) < 3000][:25]
+    got = quartile_digest.digests(texts)
+    for raw, d in zip(texts, got, strict=True):
+        codes, ratios = digest(raw)
+        steps = 0  # of a tenth of the length
+        while 1.1 ** (steps + 1) <= len(raw) * (1 + 1e-12):
+            steps += 1
+        assert (d[0], tuple(d[1:3]), d[3:].tobytes()) == (min(steps, 255), ratios, packed(codes))
+    for a, b, x, y in zip(texts, texts[1:], got, got[1:], strict=False):
+        gaps = [abs(i - j) for i, j in zip(digest(a)[0], digest(b)[0], strict=True)]
+        diff = sum(6 if g == 3 else g for g in gaps) + sum(abs(int(i) - int(j)) for i, j in zip(x[:3], y[:3], strict=True))
+        assert quartile_digest.compare(x.tobytes().hex(), y.tobytes().hex()) == 1 - min(diff, 400) / 400
+
+
+def test_mixture_step_by_step():
+    """Proportions and the chosen set, one n-gram and one language at a time."""
+    rng = np.random.default_rng(3)
+    m = language_mixture.Model(list("abc"), rng.integers(0, 50, (language_mixture.FEATURES, 3)) * (rng.random((language_mixture.FEATURES, 3)) < 0.3))
+    for size, mixed in ((300, (1, 0, 0)), (300, (0.5, 0.5, 0)), (400, (0.2, 0.3, 0.5))):
+        p = m.p.astype(float) / m.p.astype(float).sum(axis=0)
+        found = np.concatenate([rng.choice(language_mixture.FEATURES, int(size * share), p=p[:, k]) for k, share in enumerate(mixed)])
+
+        def fit(own, w, steps):
+            for _ in range(steps):
+                new = dict.fromkeys(own, 0.0)
+                for f in found:
+                    total = sum(w[k] * m.p[f, k] for k in own)
+                    for k in own:
+                        new[k] += w[k] * m.p[f, k] / total / len(found)
+                w = new
+            return w, sum(float(np.log(sum(w[k] * m.p[f, k] for k in own))) for f in found)
+
+        w, full = fit([0, 1, 2], dict.fromkeys([0, 1, 2], 1 / 3), language_mixture.STEPS)
+        order, best, want = sorted(w, key=lambda k: -w[k]), -np.inf, None
+        for n in (1, 2, 3):
+            own = order[:n]
+            start = {k: w[k] / sum(w[j] for j in own) for k in own}
+            value = (full if n == 3 else fit(own, start, 2 if n > 1 else 0)[1]) - language_mixture.PENALTY * n * np.log(len(found))
+            if value <= best:
+                break
+            best, want = value, own
+        chosen, shares = m.proportions(found)
+        assert chosen == want and np.allclose(shares, [w[k] for k in range(3)], atol=1e-3)
+        assert sorted(chosen) == [k for k, share in enumerate(mixed) if share]
+
+
+def test_features_sample_by_sample(docs):
+    """The query's feature string, summed in plain integers."""
+    for x in list(docs.values())[:30]:
+        y = [b - 128 for b in flac.padded((x or "").encode())]
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(y, y[1:], strict=False))
+        want = f"rms={(sum(v * v for v in y) / len(y)) ** 0.5:.6f};mean={sum(y) / len(y):.6f};peak={max(map(abs, y))};crossings={crossings}"
+        assert flac.features(np.array(y, np.int8)) == want
+
+
 def test_pieces_of_long_texts(docs):
     """Cut into pieces, a text gives what it gives whole."""
     text = " ".join(x for x in docs.values() if x) * 3

@@ -71,6 +71,18 @@ def dead_letter_counts(dlq: DataFrame, table: str | None = None) -> DataFrame:
     return (dlq.filter(F.col("table") == table) if table else dlq).groupBy("table").agg(F.count("*").alias("n"))
 
 
+def purge(spark: SparkSession, path: str, ack_floor: int, cutoff: Column) -> int:
+    """The sweep itself: delete the log's files of which no event is retained; how many went.  Files are small beside the log."""
+    log = spark.read.schema(ENVELOPE).parquet(path).withColumn("file", F.input_file_name())
+    kept = retained(log, ack_floor, cutoff).select("file").distinct()
+    gone = log.select("file").distinct().join(kept, "file", "left_anti").toLocalIterator()
+    n = 0
+    for r in gone:  # names only, streamed
+        p = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(r.file))
+        n += p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, False)
+    return n
+
+
 def retained(log: DataFrame, ack_floor: int, cutoff: Column) -> DataFrame:
     """What a sweep keeps: all from the first unacknowledged or still fresh event on."""
     fresh = log.filter(F.col("received_timestamp") >= cutoff).agg(F.min("seq").alias("first"))

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sluice import ingest
 from sluice.catalog import Table
+from sluice.errors import from_spark
 from sluice.sources import eventlog
 
 
@@ -18,16 +19,26 @@ def source(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
 
 
 def write_batch(events: DataFrame, batch: int, table: Table, target: str, dlq: str | None, after: Callable[[], None] | None = None) -> None:
-    """One micro-batch: each goes to a folder of its own number, so that a repeated batch replaces itself."""
+    """One micro-batch: each goes to a folder of its own number, so that a repeated batch replaces itself.
+
+    A target that refuses the batch for good parks all of it; one that may take it later fails the batch.
+    """
     events = events.filter(F.col("table_name") == table.name).persist()
     try:
         good, bad = ingest.typed(eventlog.decode(events, table), table)
-        good.write.mode("overwrite").parquet(f"{target}/batch={batch}")
+        if not dlq and bad.limit(1).count():  # before anything is written: the batch comes again
+            raise ValueError(f"rows that can't be stored and no dead-letter table: {table.name}")
+        try:
+            good.write.mode("overwrite").parquet(f"{target}/batch={batch}")
+        except Exception as e:
+            if not dlq or from_spark(e).retryable:
+                raise
+            parked = events.select(F.to_json(F.struct("columns", "row")).alias("payload"), F.lit(str(e)[:500]).alias("error"))
+            eventlog.dead_letters(parked, table.name, F.current_timestamp()).write.mode("overwrite").parquet(f"{dlq}/batch={batch}")
+            return
         if dlq:
             sick = events.withColumn("error", eventlog.poison()).filter("error is not null").select(F.to_json(F.struct("columns", "row")).alias("payload"), "error")
             eventlog.dead_letters(bad.unionByName(sick), table.name, F.current_timestamp()).write.mode("overwrite").parquet(f"{dlq}/batch={batch}")
-        elif bad.limit(1).count():
-            raise ValueError(f"rows that can't be stored and no dead-letter table: {table.name}")
         if after:
             after()
     finally:

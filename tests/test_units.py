@@ -299,6 +299,23 @@ def test_a_running_stream_serves_subscribers(spark, tmp_path):
         e.subscribe("nothing", "eq", CLAIMS)
 
 
+def test_purge(spark, tmp_path):
+    path, events = str(tmp_path / "log"), log(spark, SF)
+    for a in (0, 30, 60):
+        eventlog.publish(events.filter(f"seq > {a} AND seq <= {a + 30}").coalesce(1), path)
+    assert eventlog.purge(spark, path, 40, F.lit("2030-01-01").cast("timestamp")) == 1
+    assert sorted(r.seq for r in spark.read.schema(eventlog.ENVELOPE).parquet(path).collect()) == list(range(31, 91))
+
+
+def test_rows_without_a_dead_letter_table(spark, tmp_path):
+    """Nothing is written of a batch that must come again; one that the target refuses is parked whole."""
+    t, target = event_table(spark, SF), tmp_path / "t"
+    bad = log(spark, SF).filter("seq <= 10").withColumn("row", F.regexp_replace("row", r'^\["', '["not a number'))
+    with pytest.raises(ValueError):
+        writer.write_batch(bad, 0, t, str(target), None)
+    assert not target.exists()
+
+
 def test_settings(tmp_path):
     (tmp_path / "roles.json").write_text('{"roles": ["viewer"], "default_role": "viewer"}')
     (tmp_path / "policies.json").write_text('{"tables": {"t": {"viewer": {"select": {"columns": {"deny": ["x"]}, "filter": {"a": {"_eq": "{{ jwt.a }}"}}, "limits": {"max_execution_time": "5s", "max_memory_usage": "4GiB"}}}}}}')

@@ -1,7 +1,7 @@
 """Token ids as the tokenizers library gives them, with the library asked once per pre-token.
 
 Byte-level BPE encodes each pre-token by itself, so a text's ids are its
-pre-tokens' ids in a row.  Pre-tokens repeat; the library encodes each new one,
+pre-tokens' ids in a row.  Pre-tokens repeat; the library's model encodes each new one,
 and its answer is kept (at most ``keep`` of them).  The split below covers ASCII,
 Latin letters and common punctuation; a text with anything else, or with a special
 string, goes to the library whole.
@@ -15,12 +15,15 @@ from operator import itemgetter
 
 import numpy as np
 
+from sluice.llm.bpe_fst import byte_alphabet
 from sluice.llm.common import model, pieces
 
 LONG = 1 << 20  # characters
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 UNUSUAL = re.compile(rf"[^\t\n\r -~{LETTERS}¡§«­°·»¿–—‘-„…€]")
 SPLIT = re.compile(rf" ?[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+")
+#: Byte -> the character that stands for it in a byte-level vocabulary.
+SYMBOLS = {byte: shown for shown, byte in byte_alphabet().items()}
 
 
 class Known(dict):
@@ -42,18 +45,17 @@ class LibraryIds:
 
         self.t, self.keep = Tokenizer.from_file(path), keep
         self.special = [t.content for t in self.t.get_added_tokens_decoder().values()]
-        self.feed = self.t.encode("\n", add_special_tokens=False).ids[0]
+        self.model = self.t.model
         self.known = Known()
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.n, (self.start, self.length, self.count) = 0, np.zeros((3, 1 << 16), np.int64)
 
     def ask(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and sizes of words without line feeds, in one call: glued by line feeds, each of which is an id of its own."""
-        ids = np.array(self.t.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, np.uint32)
-        at = np.flatnonzero(ids == self.feed)
-        if len(at) != len(words) - 1:
-            raise ValueError("the library cuts glued words elsewhere")
-        return np.delete(ids, at), np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1
+        """Ids and sizes of words without line feeds, each of which is one pre-token: the library's model gets them as it would from its own split."""
+        symbols = "\n".join(words).encode().decode("latin-1").translate(SYMBOLS).split(SYMBOLS[10])
+        found = [*map(self.model.tokenize, symbols)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((t.id for tokens in found for t in tokens), np.uint32, int(sizes.sum())), sizes
 
     def forget(self) -> None:
         """Of what is kept, only pre-tokens asked for again and again stay."""

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice import cache as caching
-from sluice import ingest, pipes, policy, sqlscan
+from sluice import claims as claiming
+from sluice import ingest, keys, pipes, policy, sqlscan
 from sluice.catalog import Catalog, tenant_id
 from sluice.errors import EmptyProjection, Forbidden, LimitExceeded, NotFound, Rejected, from_spark
 from sluice.functions import render, shims, timestamps
@@ -175,6 +176,23 @@ class Engine:
         records = readers.body(self.spark, body, readers.resolve_format(content_type))
         return ingest.prepare(records, found, grant, ingest.Dedupe(rule.get("id_field", ""), bool(rule.get("require_id"))))
 
+    def publish(self, table: str, body: str, log: str, ids: str, content_type: str = "application/json", role: str | None = None, claims: dict | None = None) -> DataFrame:
+        """A request into the log; its outcomes.  ids: the folder of the table's held and seen ids.
+
+        Rows without an id are published as they come.  Numbers go on from the log's last: a table has one ingesting driver.
+        """
+        found, rule = self.catalog.lookup(table), self.settings.dedupe(table)
+        rows = self.ingest(table, body, content_type, role, claims)
+
+        def send(ok: DataFrame) -> None:
+            last = eventlog.last_seq(self.spark, log, self.tenant, table)
+            key = keys.idempotency_column(self.tenant, table, F.col("id")) if rule.get("id_field") else None
+            events = eventlog.envelopes(ok, found, self.tenant, F.lit(self.now()), F.col("index") + last, key)
+            eventlog.publish(eventlog.unsent(events, log, F.lit(self.now())), log, self.settings.log_bytes())
+
+        held = claiming.Claims(self.spark, ids, self.settings.retention(table), clock=lambda: self.now().timestamp())
+        return ingest.outcomes(held.settle(rows, send))
+
     def inserted(self, table: str) -> None:
         self.versions.bump(self.tenant, table)
 

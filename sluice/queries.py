@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice import catalog, ingest, pipes, policy, settings
+from sluice import catalog, ingest, keys, pipes, policy, settings
 from sluice.engine import Engine
 from sluice.functions import canonical, render, timestamps
 from sluice.operators import filters
@@ -315,6 +315,12 @@ add("stream_two_batches", f"SELECT 'schema' AS event, CAST(1 AS BIGINT) AS n UNI
 add("stream_resume", f"SELECT event_id AS seq FROM events WHERE {CLEAN} AND user_id < 20 AND event_id > 2000 AND event_id <= 9000", lambda spark, sf: spark.createDataFrame([(f.seq,) for f in _batches(spark, sf, "seq > 2000 AND seq <= 6000", "seq > 3000 AND seq <= 9000") if f.event == "message"], "seq long"))
 add("stream_live_query", f"SELECT event_id AS seq FROM events WHERE {CLEAN}", lambda spark, sf: (lambda r: fanout.live_query(r.filter("received_timestamp < timestamp'2024-01-15'"), r.filter("received_timestamp > timestamp'2024-01-10'")).select("seq"))(eventlog.decode(log(spark, sf), event_table(spark, sf))))
 
+# --- keys ---
+ESCAPED = "replace(replace(url_encode({0}), '.', '%2E'), '~', '%7E')"
+RECORD_KEY = f"'0/documents/' || CASE WHEN length({ESCAPED.format('text')}) <= 1024 THEN {ESCAPED.format('text')} ELSE '#' || sha256(text) END"
+add("key_escaped", f"SELECT doc_id, {ESCAPED.format('source')} AS escaped FROM documents", lambda spark, sf: spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", keys.escape_column(F.col("source")).alias("escaped")))
+add("key_idempotency", f"SELECT doc_id, substr(sha256({RECORD_KEY}), 1, 32) AS key FROM documents", lambda spark, sf: spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", keys.idempotency_column("0", "documents", F.col("text")).alias("key")))
+
 # --- kernels ---
 add("kernel_canonical_decimal", "SELECT * FROM (VALUES ('1.0', '1'), ('2.50', '2.5'), ('1e3', '1000'), ('25e-4', '0.0025'), ('-0', '0'), ('007', NULL), ('+5', NULL), ('100', '100')) t(raw, out)", lambda spark, sf: spark.createDataFrame([(x,) for x in ("1.0", "2.50", "1e3", "25e-4", "-0", "007", "+5", "100")], "raw string").select("raw", canonical.numeric_column(F.col("raw")).alias("out")))
 add("kernel_decimal_truncation", "SELECT o_orderkey, CAST(trunc(o_totalprice * 10) / 10 AS DECIMAL(12,1)) AS x FROM orders", lambda spark, sf: spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", canonical.truncate(F.col("o_totalprice").cast("string").cast("decimal(38,18)"), 12, 1).alias("x")))

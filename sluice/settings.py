@@ -16,6 +16,23 @@ FILES = ("roles.json", "policies.json", "pipes.json", "config.json")
 SIZES = {"": 1, "B": 1, "KB": 10**3, "MB": 10**6, "GB": 10**9, "TB": 10**12, "KiB": 1 << 10, "MiB": 1 << 20, "GiB": 1 << 30, "TiB": 1 << 40}
 
 
+# The sections of config.json with their keys and, of whole numbers, the range.
+MOST = (1 << 63) - 1
+SECTIONS = {
+    "clickhouse": dict.fromkeys(("addr", "http_port", "http_scheme", "database", "username", "password", "query_timeout", "insert_timeout", "tls", "headers", "max_open_conns", "max_idle_conns")),
+    "auth": dict.fromkeys(("jwks_url", "jwt_secret", "role_claim")),
+    "dedupe": dict.fromkeys(("enabled", "id_field", "require_id", "retention", "tables")),
+    "dlq": dict.fromkeys(("enabled", "tables")),
+    "ingest": {"max_batch_bytes": (1, MOST), "max_batch_wait_ms": (1, MOST), "retry_backoff_max": (1, MOST)},
+    "query": {"default_max_rows": (1, MOST), "timestamp_bucket_seconds": (0, MOST)},
+    "schema": {"refresh_interval": (1, MOST)},
+    "stream": {"keepalive_interval": (1, MOST), "keepalive_buckets": (1, MOST), "gap_window_minutes": (0, MOST), "subscriber_queue": (1, 10_000)},
+    "mq": {"max_bytes_gb": (1, MOST)},
+    "cors": dict.fromkeys(("allowed_origins",)),
+}
+SHORTEST_RETENTION = 120_000
+
+
 def millis(value) -> int:
     """5s, 500ms or bare milliseconds; nothing finer."""
     if isinstance(value, int) and not isinstance(value, bool):
@@ -46,9 +63,21 @@ class Settings:
         return int(self.config.get("query", {}).get(key, default))
 
     def dedupe(self, table: str) -> dict:
-        """The table's own over the general."""
-        general = self.config.get("ingest", {}).get("dedupe", {})
-        return general | self.config.get("tables", {}).get(table, {}).get("dedupe", {})
+        """The table's own over the general; nothing if it is switched off."""
+        general = dict(self.config.get("dedupe", {}))
+        own = general.pop("tables", {}).get(table, {})
+        return general | own if general.pop("enabled", True) else {}
+
+    def retention(self, table: str) -> float:
+        """Seconds that a stored id counts; 0 is for good."""
+        return millis(self.dedupe(table).get("retention", 0)) / 1000
+
+    def dead_letters(self, table: str) -> bool:
+        general = self.config.get("dlq", {})
+        return general.get("tables", {}).get(table, {}).get("enabled", general.get("enabled", True))
+
+    def log_bytes(self) -> int:
+        return self.config.get("mq", {}).get("max_bytes_gb", 0) * 10**9
 
 
 def no_twins(pairs):
@@ -110,11 +139,39 @@ def decode(raw: dict) -> Settings:
         if pipe.name in made:
             bad.append(f"pipe {pipe.name}: given twice")
         made[pipe.name] = pipe
+    bad += config_faults(raw["config.json"])
     if bad:
         raise Invalid("; ".join(bad), findings=bad)
     return Settings(found, made, raw["config.json"])
 
 
+def config_faults(config: dict) -> list[str]:
+    """Unknown sections and keys, numbers out of range, and retentions that the log's own window would outlast."""
+    bad = [f"config.json: unknown section {name}" for name in config if name not in SECTIONS]
+    for name, body in config.items():
+        if name not in SECTIONS:
+            continue
+        if not isinstance(body, dict):
+            bad.append(f"config.json: {name} must be an object")
+            continue
+        for key, value in body.items():
+            if key not in SECTIONS[name]:
+                bad.append(f"config.json: unknown field {name}.{key}")
+            elif (span := SECTIONS[name][key]) and not (type(value) is int and span[0] <= value <= span[1]):
+                bad.append(f"config.json: {name}.{key} must be a whole number from {span[0]} to {span[1]}")
+    for name, keys in (("dedupe", {"id_field", "require_id", "retention"}), ("dlq", {"enabled"})):
+        section = config.get(name) if isinstance(config.get(name), dict) else {}
+        for where, body in ((name, section), *((f"{name}.tables.{t}", b) for t, b in section.get("tables", {}).items())):
+            if where != name:
+                bad += [f"config.json: unknown field {where}.{k}" for k in body if k not in keys]
+            try:
+                if 0 < millis(body.get("retention", 0)) < SHORTEST_RETENTION or millis(body.get("retention", 0)) < 0:
+                    bad.append(f"config.json: {where}.retention must be 0 or at least two minutes")
+            except Invalid as e:
+                bad.append(f"config.json: {where}.retention: {e}")
+    return bad
+
+
 class Registry:
     """Settings by tenant: a flat folder is tenant 0, else a folder for each tenant.  A bad reload keeps the last good."""
 

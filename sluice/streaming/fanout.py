@@ -18,6 +18,9 @@ from sluice.policy import ReadGrant
 from sluice.sources import eventlog
 
 
+STRETCH = 1 << 16
+
+
 def visible(decoded: DataFrame, table: Table, grant: ReadGrant) -> DataFrame:
     """Filter on the full row, then project."""
     shown = [c.name for c in table.insertable if grant.column(c.name)]
@@ -29,10 +32,18 @@ def withheld(decoded: DataFrame, table: Table, grant: ReadGrant) -> DataFrame:
 
 
 def schema_frames(decoded: DataFrame, grant: ReadGrant) -> DataFrame:
-    """A frame before the first event and wherever the readable column list changes; one log partition is one order."""
+    """A frame before the first event and wherever the readable column list changes; one log partition is one order.
+
+    Events are compared within stretches of numbers, so that a tenant's log is no single task; a stretch's first
+    event is compared with the last of the stretch before, of which there is one row each.
+    """
     readable = F.filter("columns", lambda c: F.lit(True) if grant.select is None else c.isin(*[n for n in decoded.columns if grant.column(n)]))
-    before = F.lag("sig").over(Window.partitionBy("tenant", "scope").orderBy("seq"))
-    return decoded.withColumn("sig", readable).withColumn("was", before).filter(F.col("was").isNull() | (F.col("was") != F.col("sig"))).select("seq", F.col("sig").alias("columns"))
+    order, stretch = ["tenant", "_scope"], F.floor(F.col("seq") / STRETCH)
+    rows = decoded.select("tenant", F.coalesce("scope", F.lit("")).alias("_scope"), "seq", stretch.alias("_stretch"), readable.alias("sig"))
+    ends = rows.groupBy(*order, "_stretch").agg(F.max_by("sig", "seq").alias("_end"))
+    ends = ends.select(*order, "_stretch", F.lag("_end").over(Window.partitionBy(*order).orderBy("_stretch")).alias("_before"))
+    before = F.coalesce(F.lag("sig").over(Window.partitionBy(*order, "_stretch").orderBy("seq")), F.col("_before"))
+    return rows.join(ends, [*order, "_stretch"]).withColumn("was", before).filter(F.col("was").isNull() | (F.col("was") != F.col("sig"))).select("seq", F.col("sig").alias("columns"))
 
 
 def frames(decoded: DataFrame, table: Table, grant: ReadGrant) -> DataFrame:

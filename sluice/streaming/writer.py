@@ -14,8 +14,10 @@ from sluice.errors import from_spark
 from sluice.sources import eventlog
 
 
-def source(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
-    return spark.readStream.schema(eventlog.ENVELOPE).option("maxFilesPerTrigger", max_files).parquet(path)
+def source(spark: SparkSession, path: str, max_files: int = 100, max_bytes: int = 0) -> DataFrame:
+    """max_bytes, if given, sizes the batches instead of the number of files."""
+    bound = ("maxBytesPerTrigger", max_bytes) if max_bytes else ("maxFilesPerTrigger", max_files)
+    return spark.readStream.schema(eventlog.ENVELOPE).option(*bound).parquet(path)
 
 
 def write_batch(events: DataFrame, batch: int, table: Table, target: str, dlq: str | None, after: Callable[[], None] | None = None) -> None:
@@ -45,6 +47,6 @@ def write_batch(events: DataFrame, batch: int, table: Table, target: str, dlq: s
         events.unpersist()
 
 
-def start(spark: SparkSession, log: str, table: Table, target: str, dlq: str | None, checkpoint: str, after: Callable[[], None] | None = None, **trigger) -> StreamingQuery:
-    """trigger: processingTime="5 seconds" or availableNow=True."""
-    return source(spark, log).writeStream.foreachBatch(lambda df, n: write_batch(df, n, table, target, dlq, after)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def start(spark: SparkSession, log: str, table: Table, target: str, dlq: str | None, checkpoint: str, after: Callable[[], None] | None = None, max_bytes: int = 0, **trigger) -> StreamingQuery:
+    """trigger: processingTime="5 seconds" or availableNow=True; max_bytes: of a batch."""
+    return source(spark, log, max_bytes=max_bytes).writeStream.foreachBatch(lambda df, n: write_batch(df, n, table, target, dlq, after)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -7,13 +7,13 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sluice import cache, catalog, ingest, pipes, policy, settings, sqlscan, types
+from sluice import cache, catalog, claims, ingest, keys, pipes, policy, retry, settings, sqlscan, types
 from sluice.engine import Engine
-from sluice.errors import Forbidden, Invalid, LimitExceeded, NotFound, Rejected, UnsupportedFormat
+from sluice.errors import Forbidden, InFlight, Invalid, LimitExceeded, NotFound, QueueFull, Rejected, Unavailable, UnsupportedFormat, from_spark
 from sluice.functions import canonical, timestamps
 from sluice.plans import ast
 from sluice.queries import CLAIMS, POLICY, engine, event_table, log
-from sluice.sources import eventlog, readers
+from sluice.sources import eventlog, files, readers
 from sluice.streaming import fanout, writer
 
 SF = "/root/testdata/sf0.001"
@@ -166,7 +166,7 @@ def test_readers(spark):
 
 def test_request_ingest(spark):
     t = event_table(spark, SF)
-    e = Engine(spark, catalog.Catalog(lambda: [t]), settings.Settings(POLICY, {}, {"ingest": {"dedupe": {"id_field": "event_id"}}}))
+    e = Engine(spark, catalog.Catalog(lambda: [t]), settings.Settings(POLICY, {}, {"dedupe": {"id_field": "event_id"}}))
     body = '[{"event_id":1,"ts":"2024-01-01","event_type":"click","value":1.50,"user_id":9},{"event_id":1,"ts":"2024-01-01","event_type":"view","value":2,"user_id":9},{"event_id":3,"ts":1,"event_type":"error","value":2,"user_id":9},{"event_id":4,"ts":1,"event_type":"click","value":2}]'
     rows = e.ingest("events", body, role="writer", claims={"user": 9}).orderBy("index").collect()
     assert [r.status for r in rows] == ["ok", "duplicate", "error", "error"] and rows[3].reason == "missing required column user_id" and rows[0].user_id == "9" and rows[0].ts == "2024-01-01T00:00:00Z" and rows[0].value == "1.50"
@@ -357,3 +357,131 @@ def test_dropped_frames_are_all_counted(spark):
     s = [fanout.Subscriber(grant, size=5), fanout.Subscriber(grant, size=9)]
     fanout.broadcast(log(spark, SF), t, s)
     assert total > 100 and [len(x.queue) + x.dropped for x in s] == [total] * 2
+
+
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs"])), min_size=1))
+def test_keys_come_apart_again(fields):
+    key = keys.join("/", *fields)
+    assert keys.split(key, "/") == fields and key.isascii() and not set(key) & set(".~* \n#")
+
+
+def test_key_columns(spark):
+    ids = ["evt-123", "a b+c*d.e~f%", "é/#\n", "", "x" * 1024, "x" * 1025, "ü" * 200]
+    got = spark.createDataFrame([(x,) for x in [*ids, None]], "id string").select(keys.escape_column(F.col("id")), keys.record_key_column("acme", "my table", F.col("id")), keys.idempotency_column("acme", "my table", F.col("id"))).collect()
+    assert [tuple(r) for r in got] == [(keys.escape(x), keys.record_key("acme", "my table", x), keys.idempotency("acme", "my table", x)) for x in ids] + [(None, None, None)]
+    assert keys.record_key("acme", "clicks", "evt-123") == "acme/clicks/evt-123" and "#" in keys.record_key("a", "t", "ü" * 200)
+    for bad in ("a", "%", "é", ""):
+        with pytest.raises(ValueError):
+            keys.join(bad, "x")
+    with pytest.raises(Invalid):
+        keys.split("a/%4", "/")
+
+
+@given(st.integers(0, keys.WORD), st.integers(1, 300))
+def test_one_bucket_more_takes_keys_only_into_itself(h, n):
+    assert 0 <= keys.jump(h, n) < n and keys.jump(h, n + 1) in (keys.jump(h, n), n)
+
+
+def test_routes():
+    assert keys.fnv(b"") == 0xCBF29CE484222325 and keys.fnv(b"a") == 0xAF63DC4C8601EC8C  # published test values
+    spread = [keys.route("acme", f"t{i}", 4, 4) for i in range(4000)]
+    assert min(spread.count((p, s)) for p in range(4) for s in range(4)) > 180
+
+
+def test_pauses():
+    now = [0.0]
+    b = retry.Backoff(clock=lambda: now[0], chance=lambda: 0.5)
+    down, own = Unavailable("down"), from_spark(type("AnalysisException", (Exception,), {})("[PATH_NOT_FOUND] x"))
+    assert own.table_scoped and b.ask("t", 60) == 0
+    pauses = []
+    for _ in range(8):
+        pauses.append(b.failed(down, "t", 10))
+        assert b.ask("u", 10) > 0
+        now[0] += pauses[-1]
+        assert b.ask("t", 10) == 0 and b.ask("u", 10) > 0  # one probe, the others wait for it
+    assert pauses == [0.75, 1.5, 3.0, 6.0, 7.5, 7.5, 7.5, 7.5]
+    assert b.worked("t") == now[0] and b.ask("u", 10) == 0
+    b.failed(own, "t", 60)
+    assert b.ask("t", 60) > 0 and b.ask("u", 60) == 0
+    ran, slept = [], []
+
+    def flaky():
+        ran.append(1)
+        if len(ran) < 4:
+            raise down
+        return "done"
+
+    clock = [0.0]
+    b = retry.Backoff(clock=lambda: clock[0])
+    assert retry.insist(flaky, b, sleep=lambda s: slept.append(s) or clock.__setitem__(0, clock[0] + s)) == "done" and len(ran) == 4 and slept
+    with pytest.raises(Rejected):
+        retry.insist(lambda: (_ for _ in ()).throw(Rejected("no")), b)
+    with pytest.raises(Unavailable):
+        retry.insist(lambda: (_ for _ in ()).throw(down), b, attempts=2, sleep=lambda s: clock.__setitem__(0, clock[0] + s))
+
+
+def test_held_ids(spark, tmp_path):
+    """A full log frees the ids at once; any other failure holds them until the lease ends; published ids are duplicates until they expire."""
+    now = [1_700_000_000.0]
+    c = claims.Claims(spark, str(tmp_path / "ids"), retention=3600, clock=lambda: now[0])
+    rows = lambda *ids: spark.createDataFrame([(i + 1, "ok", None, x) for i, x in enumerate(ids)], "index long, status string, reason string, id string")
+    sent = []
+    send = lambda ok: sent.append(sorted(r.id or "" for r in ok.collect()))
+
+    def fails(error):
+        def run(ok):
+            raise error
+
+        return run
+
+    with pytest.raises(QueueFull):
+        c.settle(rows("a", "b"), fails(QueueFull()))
+    with pytest.raises(Unavailable):
+        c.settle(rows("a", "b"), fails(OSError("gone")))
+    with pytest.raises(InFlight) as e:
+        c.settle(rows("b", "c"), send)
+    assert e.value.detail["retry_after"] == claims.LEASE and not sent
+    c.settle(rows("c", None), send)
+    now[0] += 31
+    assert {r.id: r.status for r in c.settle(rows("a", "c"), send).collect()} == {"a": "ok", "c": "duplicate"} and sent == [["", "c"], ["a"]]
+    now[0] += 3601
+    c.settle(rows("a", "c"), send)
+    assert sent[-1] == ["a", "c"] and not files.names(spark, f"{tmp_path}/ids/held")
+
+
+def test_publishing_a_request(spark, tmp_path):
+    t, log_, ids = event_table(spark, SF), str(tmp_path / "log"), str(tmp_path / "ids")
+    e = Engine(spark, catalog.Catalog(lambda: [t]), settings.Settings(POLICY, {}, {"dedupe": {"id_field": "event_id", "retention": "1h"}}))
+    record = lambda *n: json.dumps([{"event_id": k, "ts": "2024-01-01", "event_type": "click", "value": 1, "user_id": 9} for k in n])
+    assert [r.status for r in e.publish("events", record(1, 2, 2), log_, ids, role="admin").orderBy("index").collect()] == ["ok", "ok", "duplicate"]
+    assert [r.status for r in e.publish("events", record(2, 3), log_, ids, role="admin").orderBy("index").collect()] == ["duplicate", "ok"]
+    got = eventlog.replay(spark, log_, e.tenant, "events").collect()
+    assert [r.seq for r in got] == [1, 2, 4] and got[0].key == keys.idempotency(e.tenant, "events", "1")
+    again = spark.read.schema(eventlog.ENVELOPE).parquet(log_)
+    assert eventlog.unsent(again, log_).count() == 0 and eventlog.unsent(again, log_, F.lit("2100-01-01").cast("timestamp")).count() == 3
+
+
+def test_stretches_of_a_log_share_their_schema_frames(spark, monkeypatch):
+    t, grant = event_table(spark, SF), policy.grant(POLICY, "events", "narrow", "select", {})
+    events = log(spark, SF).filter("seq <= 300").withColumn("columns", F.when(F.col("seq").between(120, 210), F.slice("columns", 2, 20)).otherwise(F.col("columns")))
+    events = events.withColumn("row", F.when(F.col("seq").between(120, 210), F.regexp_replace("row", r'^\[("[^"]*"|null),', "[")).otherwise(F.col("row")))
+    whole = [r.seq for r in fanout.schema_frames(eventlog.decode(events, t), grant).orderBy("seq").collect()]
+    monkeypatch.setattr(fanout, "STRETCH", 16)
+    assert whole == [r.seq for r in fanout.schema_frames(eventlog.decode(events, t), grant).orderBy("seq").collect()] and whole == [0, 120, 211]
+
+
+def test_dead_letters_are_trimmed(spark, tmp_path):
+    for n in (2, 10, 9):
+        spark.range(1000).write.parquet(f"{tmp_path}/batch={n}")
+    one = files.size(spark, f"{tmp_path}/batch=2")
+    assert eventlog.trim_dead_letters(spark, str(tmp_path), 25 * one) == 1 and files.names(spark, str(tmp_path)) == ["batch=10", "batch=9"]
+    assert eventlog.trim_dead_letters(spark, str(tmp_path), 1) == 1 and files.names(spark, str(tmp_path)) == ["batch=10"]
+
+
+def test_config_is_strict():
+    assert not settings.config_faults({"dedupe": {"enabled": True, "retention": "720h", "tables": {"t": {"retention": "0"}}}, "query": {"default_max_rows": 5}})
+    for bad in ({"nope": {}}, {"query": {"nope": 1}}, {"query": {"default_max_rows": 0}}, {"query": {"default_max_rows": True}}, {"stream": {"subscriber_queue": 10_001}}, {"dedupe": {"retention": "90s"}}, {"dedupe": {"tables": {"t": {"retention": "x"}}}}, {"dlq": {"tables": {"t": {"on": True}}}}, {"mq": 5}):
+        assert len(settings.config_faults(bad)) == 1
+    s = settings.Settings(policy.Policy({}), {}, {"dedupe": {"id_field": "a", "tables": {"t": {"id_field": "b", "retention": "1h"}}}, "dlq": {"enabled": False, "tables": {"t": {"enabled": True}}}, "mq": {"max_bytes_gb": 2}})
+    assert s.dedupe("t")["id_field"] == "b" and s.dedupe("u") == {"id_field": "a"} and s.retention("t") == 3600 and s.dead_letters("t") and not s.dead_letters("u") and s.log_bytes() == 2 * 10**9
+    assert settings.Settings(policy.Policy({}), {}, {"dedupe": {"enabled": False, "id_field": "a"}}).dedupe("t") == {}

@@ -177,7 +177,8 @@ piped("pipe_dialect", "dialect", {}, "SELECT event_id, event_type IN ('click', '
 # --- the result cache: a second caller whose values differ late in a long list ---
 def cached(name: str, user: int) -> None:
     def run(spark, sf):
-        e, q = engine(spark, sf), {"aggregations": [{"function": "count", "alias": "n"}]}
+        # the list's other values may be users too: the caller's filter, the same for both, leaves the last
+        e, q = engine(spark, sf), {"aggregations": [{"function": "count", "alias": "n"}], "filters": [{"column": "user_id", "op": "lt", "value": 1000}]}
         for last in (3 - user, user):
             rows, _ = e.query("events", q, "viewer", {"users": [*range(1000, 1040), last]})
         return spark.createDataFrame(rows, "n long")

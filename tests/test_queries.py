@@ -36,6 +36,15 @@ def test_same_as_sql(spark, duck, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["cache_claims_b"])
+def test_cache_claims_among_more_users(spark, name):
+    """Events of the users that the claim's list is filled with."""
+    con, large = duckdb.connect(), SF.replace("sf0.001", "sf0.1")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{large}/events.parquet'")
+    assert con.execute("SELECT count(DISTINCT user_id) FROM events WHERE user_id BETWEEN 1000 AND 1039").fetchone() == (40,)
+    assert [tuple(r) for r in QUERIES[name](spark, large).collect()] == con.execute(ORACLES[name]).fetchall()
+
+
 def test_approximate_distinct(spark, duck):
     got = {r.event_type: r.x for r in QUERIES["agg_uniq_approx"](spark, SF).collect()}
     for kind, n in duck.execute("SELECT event_type, count(DISTINCT user_id) FROM events GROUP BY 1").fetchall():

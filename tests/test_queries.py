@@ -36,7 +36,7 @@ def test_same_as_sql(spark, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["cache_claims_b"])
+@pytest.mark.parametrize("name", ["cache_claims_a", "cache_claims_b"])
 def test_cache_claims_among_more_users(spark, name):
     """Events of the users that the claim's list is filled with."""
     con, large = duckdb.connect(), SF.replace("sf0.001", "sf0.1")

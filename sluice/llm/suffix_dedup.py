@@ -21,6 +21,10 @@ context; nothing is capped.  Inside it, that is one for each batch.  At its edge
 reach into each document's own text and differ, so the task of an anchor there gets about
 one for each document; an anchor isn't split over tasks.
 
+A worker's memory goes with the bytes of one batch or one part, both bounded by BATCH
+unless told otherwise; what is sorted is sorted AT_ONCE by ranges of parts (anchors) or
+shares of a hash (windows), and removed bytes are kept as runs.
+
 Null texts count as empty.  Ids must be integers; null ids count as larger than all
 others; rows with equal ids don't remove from each other.  Texts under LENGTH bytes
 stay whole.  Columns other than id and text are not read.
@@ -39,6 +43,8 @@ from pyspark.sql import functions as F
 from sluice.llm.common import fresh_path, grouped, ids_and_texts, slices, staged, task, utf8
 
 LENGTH, GRAM, SHALLOW = 50, 20, 24
+BATCH = 16 << 20  # a batch's bytes at most, and the texts behind a part
+AT_ONCE = 1 << 18  # anchors or windows that are sorted at a time
 LAST = np.iinfo(np.int64).max  # a null id
 
 
@@ -91,10 +97,14 @@ class BlindTrie:
         return out
 
 
-def sort_windows(data: np.ndarray, start: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+def words_of(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as a number."""
+    return np.ndarray((len(data) + 1,), ">u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def sort_windows(data: np.ndarray, start: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW, words: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Windows data[s : s + length] in order, and for each whether it differs from the one before."""
-    raw = np.concatenate([data, np.zeros(8, np.uint8)])
-    words = np.ndarray((len(data) + 1,), ">u8", raw, strides=(1,))
+    words = words_of(data) if words is None else words
     order, new = np.arange(len(start)), np.zeros(len(start), bool)
     if not len(start):
         return order, new
@@ -153,20 +163,26 @@ class Batch:
     """Documents in one buffer, with the anchors of their windows."""
 
     def __init__(self, table: pa.Table):
-        texts = table.column(1).to_pylist()
+        texts = table.column(1).cast(pa.large_binary()).combine_chunks()
         self.rest = table.column(2).combine_chunks() if table.num_columns > 2 else None
         self.id_column = table.column(0).combine_chunks()
         self.ids = self.id_column.fill_null(LAST).to_numpy().astype(np.int64)
-        self.data = np.frombuffer(b"".join(texts), np.uint8)
-        self.bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        ends = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+        self.data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        self.bounds = ends - ends[0]
 
     def find_anchors(self, piece: int = 1 << 20) -> None:
         """Piece by piece, to bound the working arrays; a run of windows cut by a piece's end counts as two contexts."""
         n = len(self.data) - LENGTH + 1
-        found = [self.anchors_in(a, min(a + piece, n)) for a in range(0, n, piece)]
-        empty = [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)] * 2
-        self.first, self.last, self.key, self.context = (np.concatenate(x) for x in zip(*found, strict=True)) if found else empty
-        self.doc = np.searchsorted(self.bounds, self.first, side="right") - 1
+        place = np.int32 if n < 1 << 31 else np.int64
+        found = [[np.zeros(0, place)] * 2 + [np.zeros(0, np.uint64)] * 2]
+        for a in range(0, n, piece):
+            first, last, key, context = self.anchors_in(a, min(a + piece, n))
+            found.append([first.astype(place), last.astype(place), key, context])
+        self.first, self.last, self.key, self.context = map(np.concatenate, zip(*found, strict=True))
+
+    def ids_at(self, places: np.ndarray) -> np.ndarray:
+        return self.ids[np.searchsorted(self.bounds, places, side="right") - 1]
 
     def anchors_in(self, a: int, z: int):
         """First and last window, key and context hash of each anchor of the windows from a to z."""
@@ -199,17 +215,25 @@ class Batch:
         return first + a, last + a, h[at], mix ^ (mix >> np.uint64(32))
 
     def entries(self, parts: int):
-        """Distinct (part, key, context) in order: their parts, keys, contexts, smallest ids, and the entry of each anchor."""
-        key, ctx, ids = self.key >> np.uint64(16), self.context >> np.uint64(16), self.ids[self.doc]
-        low = (self.key & np.uint64(0xFFFF)) << np.uint64(16) | key & np.uint64(0xFFFF)  # led by bits that the key is sent without
-        part = (low * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        order = np.lexsort((ids, ctx, key, part))
-        p, k, c = part[order], key[order], ctx[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (p[1:] != p[:-1]) | (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-        entry = np.empty(len(order), np.int64)
-        entry[order] = np.cumsum(new) - 1
-        return p[new], k[new], c[new], ids[order][new], entry
+        """Distinct (part, key, context) in order, by ranges of parts: their parts, keys, contexts and smallest ids; the range's anchors and the entry of each."""
+        part = np.empty(len(self.key), np.int64)
+        for a in range(0, len(part), AT_ONCE):
+            key = self.key[a : a + AT_ONCE]
+            low = (key & np.uint64(0xFFFF)) << np.uint64(16) | key >> np.uint64(16) & np.uint64(0xFFFF)  # led by bits that the key is sent without
+            part[a : a + AT_ONCE] = low * np.uint64(parts) >> np.uint64(32)
+        ranges = min(parts, -(-len(part) // AT_ONCE))
+        for r in range(ranges):
+            at = np.flatnonzero((part >= r * parts // ranges) & (part < (r + 1) * parts // ranges))
+            if not len(at):
+                continue
+            own, key, ctx, ids = part[at], self.key[at] >> np.uint64(16), self.context[at] >> np.uint64(16), self.ids_at(self.first[at])
+            order = np.lexsort((ids, ctx, key, own))
+            p, k, c = own[order], key[order], ctx[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (p[1:] != p[:-1]) | (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+            entry = np.empty(len(order), np.int64)
+            entry[order] = np.cumsum(new) - 1
+            yield p[new], k[new], c[new], ids[order][new], at, entry
 
 
 def six_bytes(x: np.ndarray) -> bytes:
@@ -275,27 +299,36 @@ def write_batches(batches, folder: str, batch_bytes: int):
 ANCHORS = "part int, batch string, keys binary, contexts binary, base long, width int, ids binary"
 
 
+SENT_SCHEMA = pa.schema([("part", pa.int32()), ("batch", pa.string()), ("keys", pa.binary()), ("contexts", pa.binary()), ("base", pa.int64()), ("width", pa.int32()), ("ids", pa.binary())])
+
+
 def send_anchors(batches, folder: str, parts: int):
     for name in (x for b in batches for x in b.column(0).to_pylist()):
-        batch = read_batch(folder, name)
-        batch.find_anchors()
-        part, key, ctx, ids, _ = batch.entries(parts)
-        cuts = np.searchsorted(part, np.arange(parts + 1)).tolist()
-        used = [p for p in range(parts) if cuts[p] < cuts[p + 1]] or [0]  # each batch sends something, so that it gets answers
+        yield from anchors_of(name, folder, parts)
+
+
+def anchors_of(name: str, folder: str, parts: int):
+    batch = read_batch(folder, name)
+    batch.find_anchors()
+    if not len(batch.key):  # each batch sends something, so that it gets answers
+        yield pa.RecordBatch.from_pylist([{"part": 0, "batch": name, "keys": b"", "contexts": b"", "base": 0, "width": 2, "ids": b""}], schema=SENT_SCHEMA)
+    for part, key, ctx, ids, _, _ in batch.entries(parts):
+        used, cuts = np.unique(part, return_index=True)
         rows = []
-        for p in used:
-            own = slice(cuts[p], cuts[p + 1])
-            base, width, packed = narrow(ids[own])
-            rows.append({"part": p, "batch": name, "keys": six_bytes(key[own]), "contexts": six_bytes(ctx[own]), "base": base, "width": width, "ids": packed})
-        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int32()), ("batch", pa.string()), ("keys", pa.binary()), ("contexts", pa.binary()), ("base", pa.int64()), ("width", pa.int32()), ("ids", pa.binary())]))
+        for p, a, z in zip(used.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=True):
+            base, width, packed = narrow(ids[a:z])
+            rows.append({"part": p, "batch": name, "keys": six_bytes(key[a:z]), "contexts": six_bytes(ctx[a:z]), "base": base, "width": width, "ids": packed})
+        yield pa.RecordBatch.from_pylist(rows, schema=SENT_SCHEMA)
 
 
-def runs(*columns: np.ndarray) -> np.ndarray:
-    """Number of each row's run of equal values."""
-    new = np.zeros(len(columns[0]), bool)
+def heads(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = False
     for c in columns:
         new[1:] |= c[1:] != c[:-1]
-    return np.cumsum(new)
+    return np.flatnonzero(new)
 
 
 ANSWERS = "batch string, part int, places binary, least binary, several binary"
@@ -308,17 +341,19 @@ def answer_anchors(table: pa.Table) -> pa.Table:
     ids = np.concatenate([widen(r["base"], r["width"], r["ids"]) for r in rows])
     sizes = np.array([len(r["keys"]) // 6 for r in rows])
     order = np.lexsort((ids, ctx, key))
-    k, c, i = key[order], ctx[order], ids[order]
-    pair, group = runs(k, c), runs(k)
-    least = np.empty(len(k), np.int64)
-    several = np.empty(len(k), bool)
-    if len(k):
-        starts = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
-        heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        contexts = np.bincount(group[starts], minlength=group[-1] + 1)
-        low, high = np.minimum.reduceat(i, heads), np.maximum.reduceat(i, heads)
-        least[order] = i[starts][pair]
-        several[order] = ((contexts > 1) & (low < high))[group]
+    key = key[order]
+    pairs, groups = heads(key, ctx[order]), heads(key)
+    del key, ctx
+    least = np.empty(len(ids), np.int64)
+    several = np.empty(len(ids), bool)
+    if len(ids):
+        i = ids[order]
+        contexts = np.diff(np.append(np.searchsorted(pairs, groups), len(pairs)))
+        low, high = np.minimum.reduceat(i, groups), np.maximum.reduceat(i, groups)
+        least[order] = np.repeat(i[pairs], np.diff(np.append(pairs, len(i))))
+        several[order] = np.repeat((contexts > 1) & (low < high), np.diff(np.append(groups, len(i))))
+        del i
+    del order
     tell, at, out = several | (least < ids), 0, []
     for r, n in zip(rows, sizes.tolist(), strict=True):
         own = np.flatnonzero(tell[at : at + n])
@@ -336,74 +371,95 @@ def use_answers(key, table: pa.Table, folder: str, parts: int) -> pa.Table:
     name = key[0].as_py()
     batch = read_batch(folder, name)
     batch.find_anchors()
-    part, _, _, least, entry = batch.entries(parts)
-    first_of = np.searchsorted(part, np.arange(parts + 1))
-    several = np.zeros(len(part), bool)
-    for r in table.to_pylist():
-        at = first_of[r["part"]] + np.frombuffer(r["places"], "<u4").astype(np.int64)
-        least[at] = np.frombuffer(r["least"], "<i8")
-        several[at] = np.unpackbits(np.frombuffer(r["several"], np.uint8), count=len(at)).astype(bool)
-    ids = batch.ids[batch.doc]
-    open_ = several[entry] if len(entry) else np.zeros(0, bool)
-    gone = np.flatnonzero(~open_ & (ids > least[entry])) if len(entry) else np.zeros(0, np.int64)
-    rest = np.flatnonzero(open_)
-    # the contexts that must be compared, once each
-    which, number = np.unique(entry[rest], return_inverse=True)
-    sample = np.zeros(len(which), np.int64)
-    sample[number] = rest
-    low, high = np.full(len(which), LAST), np.full(len(which), np.iinfo(np.int64).min)
-    np.minimum.at(low, number, ids[rest])
-    np.maximum.at(high, number, ids[rest])
-    out = [{"kind": 0, "part": -1, "batch": name, "a": batch.first[gone].astype("<u4").tobytes(), "b": (batch.last[gone] + LENGTH).astype("<u4").tobytes(), "c": batch.first[rest].astype("<u4").tobytes(), "d": number.astype("<u4").tobytes(), "e": b""}]
-    own_part = part[which]
-    for p in np.unique(own_part).tolist():
-        own = np.flatnonzero(own_part == p)
-        a, z = batch.first[sample[own]], batch.last[sample[own]] + LENGTH
-        text = b"".join(batch.data[x:y].tobytes() for x, y in zip(a.tolist(), z.tolist(), strict=True))
-        out.append({"kind": 1, "part": p, "batch": name, "a": text, "b": (z - a).astype("u1").tobytes(), "c": own.astype("<u4").tobytes(), "d": low[own].astype("<i8").tobytes(), "e": high[own].astype("<i8").tobytes()})
-    return pa.Table.from_pylist(out, schema=STEP_SCHEMA)
+    answers = {r["part"]: r for r in table.to_pylist()}
+    gone, open_places, numbers, told, done = [], [], [], [], 0
+    for part, _, _, least, at, entry in batch.entries(parts):
+        several = np.zeros(len(part), bool)
+        for p, a in zip(*(x.tolist() for x in np.unique(part, return_index=True)), strict=True):
+            r = answers[p]
+            places = a + np.frombuffer(r["places"], "<u4").astype(np.int64)
+            least[places] = np.frombuffer(r["least"], "<i8")
+            several[places] = np.unpackbits(np.frombuffer(r["several"], np.uint8), count=len(places)).astype(bool)
+        ids, open_ = batch.ids_at(batch.first[at]), several[entry]
+        gone.append(at[~open_ & (ids > least[entry])])
+        rest = np.flatnonzero(open_)
+        # the contexts that must be compared, once each
+        which, number = np.unique(entry[rest], return_inverse=True)
+        sample = np.zeros(len(which), np.int64)
+        sample[number] = at[rest]
+        low, high = np.full(len(which), LAST), np.full(len(which), np.iinfo(np.int64).min)
+        np.minimum.at(low, number, ids[rest])
+        np.maximum.at(high, number, ids[rest])
+        open_places.append(batch.first[at[rest]].astype("<u4"))
+        numbers.append((number + done).astype("<u4"))
+        own_part = part[which]
+        for p in np.unique(own_part).tolist():
+            own = np.flatnonzero(own_part == p)
+            a, z = batch.first[sample[own]], batch.last[sample[own]] + LENGTH
+            text = b"".join(batch.data[x:y].tobytes() for x, y in zip(a.tolist(), z.tolist(), strict=True))
+            told.append({"kind": 1, "part": p, "batch": name, "a": text, "b": (z - a).astype("u1").tobytes(), "c": (own + done).astype("<u4").tobytes(), "d": low[own].astype("<i8").tobytes(), "e": high[own].astype("<i8").tobytes()})
+        done += len(which)
+    gone = np.concatenate([np.zeros(0, np.int64), *gone])
+    decided = {"kind": 0, "part": -1, "batch": name, "a": batch.first[gone].astype("<u4").tobytes(), "b": (batch.last[gone] + LENGTH).astype("<u4").tobytes(), "c": b"".join(open_places), "d": b"".join(numbers), "e": b""}
+    return pa.Table.from_pylist([decided, *told], schema=STEP_SCHEMA)
+
+
+def least_ids(data: np.ndarray, start: np.ndarray, owner: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The smallest id of each window's equals.  Windows are sorted a share at a time, by a hash: equal ones are in one share."""
+    words = words_of(data)
+    shares = -(-len(start) // AT_ONCE)
+    share = np.empty(len(start), np.int32)
+    for a in range(0, len(start), AT_ONCE):
+        s = start[a : a + AT_ONCE]
+        h = sum(words[s + d].astype(np.uint64) * np.uint64(f) for d, f in ((0, 0x9E3779B97F4A7C15), (LENGTH // 2, 0xBF58476D1CE4E5B9), (LENGTH - 8, 0x94D049BB133111EB)))
+        h = (h ^ h >> np.uint64(29)) * np.uint64(0xD6E8FEB86659FD93)
+        share[a : a + AT_ONCE] = (h >> np.uint64(32)) * np.uint64(shares) >> np.uint64(32)
+    least = np.empty(len(start), np.int64)
+    for k in range(shares):
+        at = np.flatnonzero(share == k)
+        if len(at):
+            order, new = sort_windows(data, start[at], words=words)
+            least[at[order]] = np.minimum.reduceat(low[owner[at[order]]], np.flatnonzero(new))[np.cumsum(new) - 1]
+    return least
 
 
 def compare_contexts(table: pa.Table) -> pa.Table:
     """Sort the windows of all contexts; tell senders which have a smaller id elsewhere (kind 2), in runs."""
     rows = table.to_pylist()
-    data = np.frombuffer(b"".join(r["a"] for r in rows), np.uint8)
+    data = np.frombuffer(b"".join(r.pop("a") for r in rows), np.uint8)
     size = np.concatenate([np.frombuffer(r["b"], "u1") for r in rows]).astype(np.int64)
     low, high = (np.concatenate([np.frombuffer(r[c], "<i8") for r in rows]) for c in "de")
     begin = np.cumsum(size) - size
     count = size - LENGTH + 1
-    owner = np.repeat(np.arange(len(size)), count)
-    inside = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    order, new = sort_windows(data, begin[owner] + inside)
-    ids = low[owner[order]]
-    least = np.empty(len(order), np.int64)
-    if len(order):
-        least[order] = np.minimum.reduceat(ids, np.flatnonzero(new))[np.cumsum(new) - 1]
-    hit = least < high[owner]
-    run = runs(owner, least, hit)
-    heads = np.flatnonzero(np.append(True, run[1:] != run[:-1]))[: len(run)] if len(run) else np.zeros(0, np.int64)
-    lengths = np.diff(np.append(heads, len(run)))
-    told = hit[heads]
-    heads, lengths = heads[told], lengths[told]
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), count)
+    before = np.cumsum(count) - count  # windows of the contexts before
+    start = np.arange(len(owner)) + np.repeat(begin - before, count)
+    least = least_ids(data, start, owner, low)
+    del start
+    hit = np.flatnonzero(least < high[owner])
+    owner, least = owner[hit], least[hit]
+    first = heads(owner, least, hit - np.arange(len(hit)))  # of windows in a row
+    lengths = np.diff(np.append(first, len(hit)))
+    owner, least = owner[first].astype(np.int64), least[first]
+    inside = hit[first] - before[owner]
     out, at = [], 0
     for r in rows:
         index, n = np.frombuffer(r["c"], "<u4"), len(r["b"])
-        own = slice(*np.searchsorted(owner[heads], [at, at + n]))
-        out.append({"kind": 2, "part": r["part"], "batch": r["batch"], "a": index[owner[heads[own]] - at].tobytes(), "b": inside[heads[own]].astype("u1").tobytes(), "c": lengths[own].astype("u1").tobytes(), "d": least[heads[own]].astype("<i8").tobytes(), "e": b""})
+        own = slice(*np.searchsorted(owner, [at, at + n]))
+        out.append({"kind": 2, "part": r["part"], "batch": r["batch"], "a": index[owner[own] - at].tobytes(), "b": inside[own].astype("u1").tobytes(), "c": lengths[own].astype("u1").tobytes(), "d": least[own].astype("<i8").tobytes(), "e": b""})
         at += n
     return pa.Table.from_pylist(out, schema=STEP_SCHEMA)
 
 
-def removed_mask(batch: Batch, table: pa.Table) -> np.ndarray:
+def removed_runs(batch: Batch, table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of removed bytes, in order: where they begin and end, and the document of each."""
     rows = table.to_pylist()
-    begins, ends = [], []
     base = next(r for r in rows if r["kind"] == 0)
-    begins.append(np.frombuffer(base["a"], "<u4").astype(np.int64))
-    ends.append(np.frombuffer(base["b"], "<u4").astype(np.int64))
+    begins, ends = [np.frombuffer(base["a"], "<u4").astype(np.int64)], [np.frombuffer(base["b"], "<u4").astype(np.int64)]
     place, number = np.frombuffer(base["c"], "<u4").astype(np.int64), np.frombuffer(base["d"], "<u4").astype(np.int64)
     order = np.argsort(number, kind="stable")
     place, number = place[order], number[order]
-    ids = batch.ids[np.searchsorted(batch.bounds, place, side="right") - 1]
+    ids = batch.ids_at(place)
     for r in rows:
         if r["kind"] == 2:
             ctx, offset, count, least = np.frombuffer(r["a"], "<u4").astype(np.int64), np.frombuffer(r["b"], "u1").astype(np.int64), np.frombuffer(r["c"], "u1").astype(np.int64), np.frombuffer(r["d"], "<i8")
@@ -415,36 +471,39 @@ def removed_mask(batch: Batch, table: pa.Table) -> np.ndarray:
             start = place[occ[own]] + offset[which[own]]
             begins.append(start)
             ends.append(start + count[which[own]] - 1 + LENGTH)
-    n = len(batch.data)
-    depth = np.zeros(n + 1, np.int32)
-    for at, step in ((begins, 1), (ends, -1)):
-        for x in at:
-            np.add.at(depth, x, step)
-    return np.cumsum(depth[:n], out=depth[:n]) > 0
-
-
-def batch_results(batch: Batch, gone: np.ndarray):
-    """n_bytes, n_removed, n_spans and the remaining bytes of each document."""
-    before = np.concatenate([[0], np.cumsum(gone, dtype=np.int32)])
-    n_removed = before[batch.bounds[1:]] - before[batch.bounds[:-1]]
-    begins = gone.copy()
-    begins[1:] &= ~gone[:-1]
-    inner = batch.bounds[:-1][batch.bounds[:-1] < len(gone)]
-    begins[inner] = gone[inner]
-    upto = np.concatenate([[0], np.cumsum(begins, dtype=np.int32)])
-    n_spans = upto[batch.bounds[1:]] - upto[batch.bounds[:-1]]
-    kept = memoryview(batch.data[~gone].tobytes())
-    cuts = np.concatenate([[0], np.cumsum(np.diff(batch.bounds) - n_removed)]).tolist()
-    return np.diff(batch.bounds), n_removed, n_spans, [kept[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+    begin, end = np.concatenate(begins), np.concatenate(ends)
+    del rows, begins, ends
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], np.maximum.accumulate(end[order])
+    doc = np.searchsorted(batch.bounds, begin, side="right") - 1
+    new = np.ones(len(begin), bool)
+    new[1:] = (begin[1:] > end[:-1]) | (doc[1:] != doc[:-1])
+    first = np.flatnonzero(new)
+    return begin[first], end[np.append(first[1:], len(begin)) - 1] if len(first) else end, doc[first]
+
+
+def kept_texts(batch: Batch, begin: np.ndarray, end: np.ndarray, doc: np.ndarray):
+    """The remaining bytes of each document, one after the other."""
+    data, cuts = memoryview(batch.data), np.searchsorted(doc, np.arange(len(batch.ids) + 1)).tolist()
+    begin, end, bounds = begin.tolist(), end.tolist(), batch.bounds.tolist()
+    for d, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        yield b"".join(data[x:y] for x, y in zip([bounds[d], *end[a:z]], [*begin[a:z], bounds[d + 1]], strict=True))
 
 
 def finish_batch(key, table: pa.Table, folder: str, texts: bool) -> pa.Table:
     batch = read_batch(folder, key[0].as_py())
-    n_bytes, n_removed, n_spans, kept = batch_results(batch, removed_mask(batch, table))
-    cols = [batch.id_column.cast(pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+    begin, end, doc = removed_runs(batch, table)
+    n = len(batch.ids)
+    n_removed = np.bincount(doc, end - begin, n).astype(np.int64)
+    hashes, kept = [], []
+    for k in kept_texts(batch, begin, end, doc):
+        hashes.append(hashlib.sha256(k).hexdigest())
+        if texts:
+            kept.append(k)
+    cols = [batch.id_column.cast(pa.int64()), pa.array(np.diff(batch.bounds), pa.int64()), pa.array(n_removed, pa.int64()), pa.array(np.bincount(doc, minlength=n), pa.int64()), pa.array(hashes, pa.string())]
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     if texts:
-        cols.append(pa.array([bytes(k) for k in kept], pa.binary()))
+        cols.append(pa.array(kept, pa.binary()))
         names.append("kept")
     if batch.rest is not None:
         cols.append(batch.rest)
@@ -452,7 +511,7 @@ def finish_batch(key, table: pa.Table, folder: str, texts: bool) -> pa.Table:
     return pa.Table.from_arrays(cols, names=names)
 
 
-def batch_size(df: DataFrame, least: int = 8 << 20, most: int = 32 << 20) -> int:
+def batch_size(df: DataFrame, least: int = 8 << 20, most: int = BATCH) -> int:
     """Bytes a batch: grows as the root of the input, so that batches x parts grows in proportion until ``most``, a matter of worker memory."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return max(least, min(most, math.isqrt(size << 17)))
@@ -491,7 +550,7 @@ def remove_repeats(df: DataFrame, batch_bytes: int | None = None, parts: int | N
 
     manifest = staged(rows.mapInArrow(write, "batch string"), "suffix-manifest")
     n = manifest.count()
-    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 2)
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * min(batch_bytes, BATCH) // BATCH))
     sent = manifest.repartition(max(1, n), "batch").mapInArrow(send, ANCHORS)
     answers = sent.repartition(parts, "part").groupBy("part").applyInArrow(answer, ANSWERS)
     step = staged(answers.repartition(max(1, n), "batch").groupBy("batch").applyInArrow(use, STEP), "suffix-step")

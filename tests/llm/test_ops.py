@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -377,6 +379,53 @@ def test_suffix_dedup(spark, sf, docs):
         assert len(rows) == len(docs) and all(tuple(r)[1:] == want[r.id][:4] for r in rows)
 
 
+def suffix_steps(texts, folder, parts, batch_bytes, step=lambda name, run: run()):
+    """The steps of op6 one after the other in this process; step is told each."""
+    s, tables = suffix_dedup, lambda batches: pa.Table.from_batches(list(batches))
+    rows = pa.RecordBatch.from_arrays([pa.array(list(texts), pa.int64()), pa.array(list(texts.values()), pa.string())], names=["id", "text"])
+    names = [b.column(0)[0].as_py() for b in s.write_batches(iter([rows]), folder, batch_bytes)]
+    only = lambda t, c, v: t.filter(pa.array([x == v for x in t.column(c).to_pylist()], pa.bool_()))
+    sent = pa.concat_tables([step("send", lambda n=n: tables(s.send_anchors([pa.RecordBatch.from_arrays([pa.array([n])], names=["batch"])], folder, parts))) for n in names])
+    answers = pa.concat_tables([step("answer", lambda t=t: s.answer_anchors(t)) for p in range(parts) if len(t := only(sent, "part", p))])
+    told = pa.concat_tables([step("use", lambda n=n: s.use_answers((pa.scalar(n),), only(answers, "batch", n), folder, parts)) for n in names])
+    contexts = only(told, "kind", 1)
+    told = pa.concat_tables([only(told, "kind", 0), *(step("compare", lambda t=t: s.compare_contexts(t)) for p in range(parts) if len(t := only(contexts, "part", p)))])
+    return pa.concat_tables([step("finish", lambda n=n: s.finish_batch((pa.scalar(n),), only(told, "batch", n), folder, False)) for n in names]).to_pylist()
+
+
+def test_suffix_dedup_in_shares(docs, tmp_path, monkeypatch):
+    """What is sorted a share at a time makes no difference to what goes."""
+    some = {i: docs[i] for i in sorted(docs)[:80]} | {-1: "", -2: "é" * 30, -3: "é" * 30 + "x" * 60, -4: "x" * 200}
+    want = without_repeats(some)
+    for n, most in enumerate((50, 700, 1 << 18)):
+        monkeypatch.setattr(suffix_dedup, "AT_ONCE", most, raising=False)
+        for parts in (1, 5):
+            rows = suffix_steps(some, (tmp_path / f"{n}-{parts}").as_uri(), parts, 30_000)
+            assert len(rows) == len(some) and all(tuple(r.values())[1:] == want[r["id"]][:4] for r in rows)
+
+
+def test_suffix_dedup_memory(tmp_path):
+    """A worker's arrays in each step, as multiples of the bytes of a batch or, in its task, a part."""
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("abcdefghijklmnop", k=6)) for _ in range(3000)]
+    passages = [" ".join(rnd.choices(words, k=30)) for _ in range(60)]
+    texts = {i: " ".join([*rnd.choices(words, k=300), rnd.choice(passages), *rnd.choices(words, k=300)]) for i in range(1800)}
+    size, peaks = sum(map(len, texts.values())), {}
+
+    def step(name, run):
+        tracemalloc.start()
+        out = run()
+        peaks[name] = max(peaks.get(name, 0), tracemalloc.get_traced_memory()[1] / size)
+        tracemalloc.stop()
+        return out
+
+    rows = suffix_steps(texts, tmp_path.as_uri(), 1, 1 << 30, step)
+    assert sum(r["n_removed"] for r in rows) > 1740 * 190
+    most = {"send": 16, "answer": 8, "use": 16, "compare": 4, "finish": 3}
+    assert all(peaks[k] < most[k] for k in most), peaks
+    assert suffix_dedup.batch_size.__defaults__[1] <= 16 << 20
+
+
 def test_deep_shallow_sort():
     rnd = random.Random(8)
     for _ in range(20):
